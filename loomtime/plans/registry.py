@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from loomtime.plans import data_queries
+
+_PARTS = (data_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for part in _PARTS for name, q in part.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q for part in _PARTS for name, q in part.oracle_sql().items()}
