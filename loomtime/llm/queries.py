@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtime.llm import leakage, percentiles, tokens
+from loomtime.llm import leakage, percentiles, pii, tokens
 from loomtime.runtime import read_table
 
 PROBABILITIES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -50,8 +50,22 @@ def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder)
 
 
+def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Each piece of personal information with its place."""
+    return pii.find_personal(read_table(spark, folder, "documents"), read_table(spark, folder, "contributors"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_spans(spark, folder).select("doc_id", "kind", "value").distinct()
+
+
+def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Each text with placeholders instead of personal information."""
+    return pii.redact(read_table(spark, folder, "documents"), read_table(spark, folder, "contributors"))
+
+
 def queries() -> dict:
-    own = (p1_percentiles, p1_merged, p6_ids, p7_found, p7_spans)
+    own = (p1_percentiles, p1_merged, p6_ids, p7_found, p7_spans, p8_spans, p8_found, p8_redacted)
     return {f.__name__: f for f in own}
 
 
