@@ -32,3 +32,32 @@ def runs_of(column: pa.ChunkedArray) -> np.ndarray:
     keys = keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys
     codes = keys.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
     return np.r_[0, np.flatnonzero(np.diff(codes)) + 1]
+
+
+def running_total(df: DataFrame, key: str, amount: str, name: str, parts: int | None = None) -> DataFrame:
+    """``df`` with the total of ``amount`` over all rows up to each one in order of ``key``, over the whole table and without one task
+    holding it: partitions of the sorted table add up their own rows, and get the totals of those before from one number each."""
+    from pyspark import TaskContext
+    from pyspark.sql import types as T
+
+    ordered = sorted_once(df, key, parts=parts)
+
+    def total(batches):
+        n = sum(float(np.nansum(b.column(b.schema.get_field_index(amount)).to_numpy(zero_copy_only=False).astype(float))) for b in batches if b.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n])], names=["pid", "n"])
+
+    sums = {r["pid"]: r["n"] for r in ordered.select(amount).mapInArrow(total, "pid int, n double").collect()}
+    before, so_far = {}, 0.0
+    for pid in sorted(sums):
+        before[pid], so_far = so_far, so_far + sums[pid]
+
+    def add(batches):
+        at = before.get(TaskContext.get().partitionId(), 0.0)
+        for b in batches:
+            if b.num_rows:
+                x = np.nan_to_num(b.column(b.schema.get_field_index(amount)).to_numpy(zero_copy_only=False).astype(float))
+                run = at + np.cumsum(x)
+                at = float(run[-1])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(run)], names=[*b.schema.names, name])
+
+    return ordered.mapInArrow(add, T.StructType([*ordered.schema.fields, T.StructField(name, T.DoubleType())]))
