@@ -14,7 +14,7 @@ from loomtime.functions.freq import parse_human_duration
 from loomtime.functions.select import Panel, check_date, check_values, unpack
 from loomtime.operators.calendar import signature
 from loomtime.operators.frequency import local_period
-from loomtime.operators.series import whole_series
+from loomtime.operators.series import grouped, whole_series
 
 
 def loess(y: np.ndarray, span: int, degree: int, weight: np.ndarray | None = None, first: int = 0, count: int | None = None) -> np.ndarray:
@@ -261,7 +261,7 @@ def acf_diagnostics(data: DataFrame | Panel, date_column: str, value_column: str
             out[k] = part[k].iloc[0]
         return out[schema.names]
 
-    return df.groupBy(*(keys or [F.lit(0)])).applyInPandas(each, schema)
+    return grouped(df, keys).applyInPandas(each, schema)
 
 
 # Seasonal features, the calendar features they show, their lengths in seconds, and the features for a median step below a bound

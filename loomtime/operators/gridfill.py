@@ -38,14 +38,25 @@ def _interpolate(x: np.ndarray, known: np.ndarray, size: np.ndarray) -> np.ndarr
     return np.where(left < 0, hi, np.where(right >= width, lo, lo + (hi - lo) * part))
 
 
+def _first_guess(x: np.ndarray, known: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The rows' mean day plus what is left of it on straight lines; hours of the day that are never known count as the row's mean."""
+    n, width = x.shape
+    days = width // LAG
+    sums, counts = (a.reshape(n, days, LAG).sum(1) for a in (np.where(known, x, 0.0), known.astype(float)))
+    mean = (sums.sum(1) / np.maximum(counts.sum(1), 1))[:, None]
+    day = np.where((counts > 1) & (counts.sum(1) >= 2 * LAG)[:, None], sums / np.maximum(counts, 1), mean)
+    course = np.tile(day, (1, days))
+    return course + _interpolate(np.where(known, x - course, 0.0), known, size)
+
+
 def impute(x: np.ndarray, known: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Buckets (rows, padded to one width) with unknown entries filled; only the first ``size`` entries of a row count.
 
-    Rows of fewer than 2*LAG entries, or with fewer than LAG known ones, are filled by straight lines; a row without a known
-    entry stays NaN."""
+    Rows of fewer than 2*LAG entries, or with fewer than LAG known ones, are filled by their mean day and straight lines; a row without a
+    known entry stays NaN."""
     n, width = x.shape
     inside = np.arange(width) < size[:, None]
-    filled = _interpolate(np.where(known, x, 0.0), known, size)
+    filled = _first_guess(np.where(known, x, 0.0), known, size)
     count = known.sum(1)
     filled[count == 0] = np.nan
     todo = np.flatnonzero((size >= 2 * LAG) & (count >= LAG) & (count < size))

@@ -65,7 +65,7 @@ NATIVE: dict[str, Callable[[Column, object], Column]] = {
     "var": lambda x, w: F.var_samp(x).over(w), "min": lambda x, w: F.min(x).over(w), "max": lambda x, w: F.max(x).over(w),
     "median": lambda x, w: F.percentile(x, 0.5).over(w), "count": lambda x, w: F.count(x).over(w).cast("double"),
     "quantile": lambda x, w: F.percentile(x, 0.5).over(w), "skew": lambda x, w: _moments(x, w, "skew"), "kurt": lambda x, w: _moments(x, w, "kurt"),
-    "sem": lambda x, w: F.try_divide(F.stddev_samp(x).over(w), F.sqrt(F.count(x).over(w))),
+    "sem": lambda x, w: F.try_divide(F.stddev_samp(x).over(w), F.sqrt(F.count(x).over(w) - 1)),
 }
 
 
@@ -119,7 +119,7 @@ def augment_rolling(data: DataFrame | Panel, date_column: str, value_column, win
             for label, f in _functions(window_func):
                 name = f"{v}_rolling_{label}_win_{size}"
                 if isinstance(f, str) and f in NATIVE:
-                    new[name] = _guarded(NATIVE[f](x, w), x, w, 0 if f == "count" and min_periods == 0 else least)
+                    new[name] = _guarded(NATIVE[f](x, w), F.lit(1) if f == "count" else x, w, least)
                 elif isinstance(f, Quantile):
                     new[name] = _guarded(_quantile(x, w, f), x, w, least)
                 else:

@@ -118,6 +118,12 @@ def whole_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], field
     def each(part: pd.DataFrame) -> pd.DataFrame:
         return kernel(part.sort_values(order, kind="stable").reset_index(drop=True))[schema.names]
 
+    return grouped(df, keys).applyInPandas(each, schema)
+
+
+def grouped(df: DataFrame, keys: Sequence[str]):
+    """``df`` grouped by keys, or as one group."""
     if keys:
-        return df.groupBy(*keys).applyInPandas(each, schema)
-    return df.groupBy(F.lit(0)).applyInPandas(each, schema)
+        return df.groupBy(*keys)
+    one = free_name(df, "one")
+    return df.withColumn(one, F.lit(0)).groupBy(one)

@@ -14,6 +14,7 @@ from loomtime.functions.freq import Freq
 from loomtime.functions.select import Panel, check_date, check_values, unpack
 from loomtime.operators.decompose import _lagged, _odd, levinson, stl
 from loomtime.operators.frequency import local_period
+from loomtime.operators.series import grouped
 
 NAN = float("nan")
 
@@ -284,5 +285,5 @@ def ts_features(data: DataFrame | Panel, date_column: str, value_column: str, fe
         clean = {c: (float(row[c]) if c in row and np.isfinite(row[c]) else None) for c in columns}
         return pd.DataFrame([{**{k: part[k].iloc[0] for k in keys}, **clean}], columns=schema.names).astype({c: "float64" for c in columns})
 
-    out = df.select(*keys, date_column, value_column).groupBy(*(keys or [F.lit(0)])).applyInPandas(each, schema)
+    out = grouped(df.select(*keys, date_column, value_column), keys).applyInPandas(each, schema)
     return out.select(*keys, *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in columns])

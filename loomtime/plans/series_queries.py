@@ -121,10 +121,10 @@ def future_frame_day(spark, folder):
 
 
 @query("WITH " + DAILY + """, l AS (SELECT id, max(date) AS z FROM daily GROUP BY id)
-SELECT id, CAST(last_day(CAST(date_trunc('month', z) + to_months(CAST(k AS INTEGER)) AS DATE)) AS TIMESTAMP) AS date, CAST(NULL AS DOUBLE) AS value, CAST(NULL AS BIGINT) AS copies FROM l, range(1, 4) t(k)
-UNION ALL SELECT id, date, value, copies FROM daily""")
+SELECT id, CAST(last_day(CAST(date_trunc('month', z) + to_months(CAST(k AS INTEGER)) AS DATE)) AS TIMESTAMP) AS date, CAST(NULL AS DOUBLE) AS value FROM l, range(1, 4) t(k)
+UNION ALL SELECT id, date, value FROM daily""")
 def future_frame_month_end(spark, folder):
-    return grid.future_frame(daily(spark, folder), "date", 3, "ME", by=["id"]).select("id", "date", "value", "copies")
+    return grid.future_frame(daily(spark, folder), "date", 3, "ME", by=["id"]).select("id", "date", "value")
 
 
 @query("SELECT CAST(d AS TIMESTAMP) AS date FROM unnest(generate_series(DATE '2023-01-01', DATE '2024-12-31', INTERVAL 1 DAY)) t(d) WHERE isodow(d) < 6")
