@@ -115,7 +115,7 @@ def percentiles_of_runs(runs: DataFrame, probabilities: Sequence[float], names:
     for i, (p, name) in enumerate(zip(probs, names, strict=True)):
         h = (F.col("n") - 1) * F.lit(float(p))
         lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
-        columns.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (h - F.floor(h))).alias(name))
+        columns.append(F.when((lo == hi) | (h == F.floor(h)), lo).otherwise(lo + (hi - lo) * (h - F.floor(h))).alias(name))
     return whole.select("by", "n", *columns)
 
 
