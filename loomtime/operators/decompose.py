@@ -18,33 +18,34 @@ from loomtime.operators.series import grouped, whole_series
 
 
 def loess(y: np.ndarray, span: int, degree: int, weight: np.ndarray | None = None, first: int = 0, count: int | None = None) -> np.ndarray:
-    """Local regression of values at 0..n-1, evaluated at ``count`` whole positions from ``first`` on, with tricube and given weights."""
-    n = len(y)
+    """Local regression of values at 0..n-1 (of each row of a table), evaluated at ``count`` whole positions from ``first`` on, with tricube and
+    given weights."""
+    table = np.atleast_2d(y)
+    n = table.shape[1]
     count = n if count is None else count
     at = np.arange(first, first + count, dtype=float)
     q = min(span, n)
     low = np.clip(np.round(at).astype(int) - (q - 1) // 2, 0, n - q)
-    out = np.empty(count)
-    w0 = np.ones(n) if weight is None else weight
-    for a in range(0, count, 2048):
-        s = slice(a, a + 2048)
-        near = low[s, None] + np.arange(q)
-        d = near - at[s, None]
-        reach = np.abs(d).max(1, keepdims=True) + (max(0, span - n) / 2)
-        reach = np.maximum(reach, 1e-9)
-        u = np.minimum(np.abs(d) / (reach * 1.0000001), 1)
-        w = (1 - u**3) ** 3 * w0[near]
-        total = w.sum(1, keepdims=True)
-        bad = total[:, 0] <= 0
-        w = np.where(total > 0, w / np.where(total > 0, total, 1), 1 / q)
-        mean = (w * d).sum(1)
-        fit = (w * y[near]).sum(1)
+    near = low[:, None] + np.arange(q)
+    d = near - at[:, None]
+    reach = np.maximum(np.abs(d).max(1, keepdims=True) + max(0, span - n) / 2, 1e-9)
+    tricube = (1 - np.minimum(np.abs(d) / (reach * 1.0000001), 1) ** 3) ** 3
+    out = np.empty((len(table), count))
+    step = max(1, 4_000_000 // max(1, q * len(table)))
+    for a in range(0, count, step):
+        s = slice(a, a + step)
+        values = table[:, near[s]]
+        w = np.broadcast_to(tricube[s], values.shape) if weight is None else tricube[s] * np.atleast_2d(weight)[:, near[s]]
+        total = w.sum(2)
+        safe = np.where(total > 0, total, 1)
+        mean, level = (w * d[s]).sum(2) / safe, (w * values).sum(2) / safe
         if degree > 0:
-            spread = (w * (d - mean[:, None]) ** 2).sum(1)
-            slope = np.divide((w * (d - mean[:, None]) * y[near]).sum(1), spread, out=np.zeros_like(spread), where=spread > 1e-6 * (n**2) * 1e-6)
-            fit = fit - slope * mean
-        out[s] = np.where(bad, y[near].mean(1), fit)
-    return out
+            spread = (w * d[s] ** 2).sum(2) / safe - mean**2
+            cross = (w * d[s] * values).sum(2) / safe - mean * level
+            slope = np.divide(cross, spread, out=np.zeros_like(spread), where=spread > 1e-9)
+            level = level - slope * mean
+        out[:, s] = np.where(total > 0, level, values.mean(2))
+    return out[0] if np.ndim(y) == 1 else out
 
 
 def _average(x: np.ndarray, n: int) -> np.ndarray:
@@ -59,13 +60,16 @@ def stl(y: np.ndarray, period: int, seasonal: int, trend: int, robust: bool = Tr
         return np.zeros(n), t, y - t
     low_pass = period + 1 if period % 2 == 0 else period
     season, tr, weight = np.zeros(n), np.zeros(n), None
+    long, size = n % period, n // period
+    groups = [(np.arange(a, b), np.arange(a, b)[:, None] + np.arange(k) * period) for a, b, k in ((0, long, size + 1), (long, period, size)) if b > a]
     for outer in range(15 if robust else 1):
         for _ in range(2 if robust else 5):
             free = y - tr
             cycle = np.empty(n + 2 * period)
-            for p in range(period):
-                sub = free[p::period]
-                cycle[p::period] = loess(sub, seasonal, 1, None if weight is None else weight[p::period], -1, len(sub) + 2)
+            for phases, rows in groups:  # phases of as many rows side by side
+                sub = free[rows]
+                fit = loess(sub, seasonal, 1, None if weight is None else weight[rows], -1, rows.shape[1] + 2)
+                cycle[phases[:, None] + np.arange(rows.shape[1] + 2) * period] = fit
             low = loess(_average(_average(_average(cycle, period), period), 3), low_pass, 1)
             season = cycle[period : period + n] - low
             tr = loess(y - season, trend, 1, weight)

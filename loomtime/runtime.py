@@ -36,6 +36,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for a costly Python stage: an input of less than one full split a core is dealt out evenly first, as a few row groups would keep most
+    cores idle; larger ones already have tasks enough and aren't moved. Only the planner's size estimate is read."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(4 * cores) if size < cores * split else df
+
+
 def nan_to_null(column):
     """Floating column with NaN read as missing."""
     return F.when(F.isnan(column), None).otherwise(column)
