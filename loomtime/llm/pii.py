@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtime.runtime import spread
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 LONGEST = 100  # characters of an entity
 NEAR = 60  # characters between entities that still see each other
@@ -483,7 +485,7 @@ def find_personal(documents: DataFrame, people: DataFrame, doc_id: str = "doc_id
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "kind", "start", "end", "value"])
 
     given = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
-    return given.mapInArrow(run, "doc_id bigint, kind string, start int, end int, value string")
+    return spread(given).mapInArrow(run, "doc_id bigint, kind string, start int, end int, value string")
 
 
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -511,4 +513,4 @@ def redact(documents: DataFrame, people: DataFrame, doc_id: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(counts, pa.int32())], names=["doc_id", "text", "found"])
 
     given = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return given.mapInArrow(run, "doc_id bigint, text string, found int")
+    return spread(given).mapInArrow(run, "doc_id bigint, text string, found int")

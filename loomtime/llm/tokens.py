@@ -13,6 +13,7 @@ import json
 import os
 import re
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -22,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtime.runtime import spread
+
 VOCABULARY = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "byte_bpe_50k.json")
 
 # The word pattern of byte_bpe_50k, and Unicode's White_Space property
@@ -68,14 +71,15 @@ class Vocabulary:
         for b in [x for x in ends if len(x) == 2]:
             ends[b] |= ends.get(b[-1:], set())
         self.ends = {k: sorted(v, reverse=True) for k, v in ends.items()}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
 
     def joins(self, left: int, right: int) -> bool:
         """Whether BPE leaves ``left`` and ``right`` side by side. The merges of both are undone from the last one on; the pair at
         the border is open until one of its sides is used up, and a merge of it before that moment would cross the border (of
         equal merges the one further left comes first)."""
-        known = self.fits.get((left, right))
+        pair = left << 20 | right
+        known = self.fits.get(pair)
         if known is None:
             a, b, until_a, until_b, known = left, right, 1 << 30, 1 << 30, True
             while True:
@@ -90,7 +94,7 @@ class Vocabulary:
                     until_a, a = done_a, self.parts[a][1]
                 else:
                     until_b, b = done_b, self.parts[b][0]
-            self.fits[left, right] = known
+            self.fits[pair] = known
         return known
 
     def stands(self, token: int) -> bool:
@@ -119,7 +123,7 @@ class Vocabulary:
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of distinct words, by one depth-first walk of their trie."""
-        ids, ends, length = self.ids, self.ends, self.length
+        ids, ends, length, fits, joins = self.ids, self.ends, self.length, self.fits, self.joins
         state: list[int] = []  # last token at each depth of the current path
         path = b""
         out: dict[str, list[int]] = {}
@@ -132,7 +136,16 @@ class Vocabulary:
                     if n > depth:
                         continue
                     token = ids.get(raw[depth - n : depth])
-                    if token is not None and (self.joins(state[depth - n - 1], token) if n < depth else self.stands(token)):
+                    if token is None:
+                        continue
+                    if n < depth:
+                        above = state[depth - n - 1]
+                        whole = fits.get(above << 20 | token)
+                        if whole is None:
+                            whole = joins(above, token)
+                    else:
+                        whole = self.stands(token)
+                    if whole:
                         state.append(token)
                         break
             at, found = len(raw), []
@@ -144,10 +157,11 @@ class Vocabulary:
 
 
 class Encoder:
-    """Texts to ids, with the pieces met so far kept up to ``most`` of them."""
+    """Texts to ids. Pieces and words met before are kept, but long ones (hashes, paths, data), which hardly ever come again, only as long as their
+    chunk of texts; about ``most`` pieces, words and token pairs each stay, so a worker's memory is bounded."""
 
-    def __init__(self, path: str, most: int = 400_000):
-        self.vocabulary, self.most = Vocabulary(path), most
+    def __init__(self, path: str, most: int = 200_000, long: int = 18):
+        self.vocabulary, self.most, self.long = Vocabulary(path), most, long
         self.clear()
 
     def clear(self) -> None:
@@ -155,29 +169,45 @@ class Encoder:
         self.words: dict[str, list[int]] = {}
         self.tokens, self.starts = array("i"), array("q", [0])
 
-    def learn(self, pieces: set[str]) -> None:
-        if len(self.place) > self.most:
+    def learn(self, pieces: set[str]) -> list[str]:
+        """Encode what is new; the long pieces come back, to be dropped after use."""
+        if max(len(self.place), len(self.words)) > self.most:
             self.clear()
-        new = [(p, WORD.findall(p)) for p in pieces if p not in self.place]
-        fresh = {w for _, ws in new for w in ws if w not in self.words}
-        self.words.update(self.vocabulary.encode_words(fresh))
-        for p, ws in new:
-            self.place[p] = len(self.starts) - 1
+        if len(self.vocabulary.fits) > 2 * self.most:
+            self.vocabulary.fits.clear()
+        place, words, tokens, starts = self.place, self.words, self.tokens, self.starts
+        new = sorted((p for p in pieces if p not in place), key=len)
+        cut = [WORD.findall(p) for p in new]
+        fresh = self.vocabulary.encode_words({w for ws in cut for w in ws if w not in words})
+        words.update(fresh)
+        for p, ws in zip(new, cut):
+            place[p] = len(starts) - 1
             for w in ws:
-                self.tokens.extend(self.words[w])
-            self.starts.append(len(self.tokens))
+                tokens.extend(words[w])
+            starts.append(len(tokens))
+        for w in fresh:
+            if len(w) > 8:
+                del words[w]
+        return new[bisect_right(new, self.long, key=len) :]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the texts one after another."""
         pieces = [PIECE.findall(t) if t else [] for t in texts]
         flat = list(chain.from_iterable(pieces))
-        self.learn(set(flat))
+        dropped = self.learn(set(flat))
         at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        starts, tokens = np.frombuffer(self.starts, np.int64), np.frombuffer(self.tokens, np.int32) if self.tokens else np.empty(0, np.int32)
+        starts = np.frombuffer(self.starts, np.int64)
+        tokens = np.frombuffer(self.tokens, np.int32) if self.tokens else np.empty(0, np.int32)
         first = starts[at]
         count = starts[at + 1] - first
         past = np.r_[0, np.cumsum(count)]
         ids = tokens[np.repeat(first - past[:-1], count) + np.arange(past[-1])]
+        del starts, tokens  # views keep the arrays from changing
+        if dropped:  # they lie at the end
+            keep = self.place[dropped[0]]
+            for p in dropped:
+                del self.place[p]
+            del self.tokens[self.starts[keep] :], self.starts[keep + 1 :]
         return past[np.r_[0, np.cumsum([len(p) for p in pieces])].astype(np.int64)], ids
 
 
@@ -216,11 +246,11 @@ def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", voc
         own = encoder(vocabulary)
         for batch in batches:
             done = 0
-            for texts in _chunks(batch.column(1).to_pylist(), 2_000_000):
+            for texts in _chunks((x.as_py() for x in batch.column(1)), 1_000_000):
                 offsets, ids = own.encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(texts)), lists], names=["doc_id", "ids"])
                 done += len(texts)
 
     given = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return given.mapInArrow(run, "doc_id bigint, ids array<int>")
+    return spread(given).mapInArrow(run, "doc_id bigint, ids array<int>")
