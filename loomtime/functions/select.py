@@ -182,3 +182,17 @@ def reduce_memory_usage(data: DataFrame) -> DataFrame:
         elif exact:
             new[f.name] = q(f.name).cast("float")
     return data.withColumns(new)
+
+
+def get_timeseries_cols(data: DataFrame) -> list[str]:
+    """Columns that hold dates: by type, or texts whose first value reads as one."""
+    typed = [f.name for f in data.schema if is_temporal(f.dataType)]
+    texts = [f.name for f in data.schema if isinstance(f.dataType, T.StringType)]
+    if texts:
+        first = data.select(*[F.try_to_timestamp(f"`{c}`").isNotNull().alias(f"t{i}") for i, c in enumerate(texts)]).limit(1).collect()
+        typed += [c for i, c in enumerate(texts) if first and first[0][i]]
+    return [c for c in data.columns if c in typed]
+
+
+def has_timeseries_col(data: DataFrame) -> bool:
+    return bool(get_timeseries_cols(data))

@@ -150,6 +150,7 @@ def describe(df: DataFrame, row: str, group: str, date: str, value: str, categor
         F.last("m", True).over(past).alias("pm"), F.last(when("m"), True).over(past).alias("pn"), F.last("k", True).over(past).alias("pk"), F.last(when("k"), True).over(past).alias("pkn"),
         F.first("m", True).over(future).alias("fm"), F.first(when("m"), True).over(future).alias("fn"), F.first("k", True).over(future).alias("fk"), F.first(when("k"), True).over(future).alias("fkn"),
         F.avg("m").over(order.rangeBetween(-7, -7)).alias("w1"), F.avg("m").over(order.rangeBetween(7, 7)).alias("w2"))
+    daily = checkpointed(daily)  # read twice below
     sd = F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
     day = daily.groupBy("d").agg(F.avg((F.col("m") - F.col("mean")) / sd).alias("sum_day"), F.count("m").alias("of_day"))
     daily = daily.withColumn("sd", sd)

@@ -419,3 +419,13 @@ def test_group_apply(spark):
     assert out.columns == ["g", "top"] and out.count() == 3
     with pytest.raises(ValueError):
         apply.parallel_apply(df, len)
+
+
+def test_public_names(spark):
+    import loomtime
+
+    assert all(callable(getattr(loomtime, n)) for n in loomtime.__all__) and len(loomtime.__all__) > 80
+    with pytest.raises(AttributeError):
+        loomtime.nope  # noqa: B018
+    df = spark.createDataFrame([("2023-01-01", "x", dt.datetime(2023, 1, 1))], "a string, b string, c timestamp")
+    assert loomtime.get_timeseries_cols(df) == ["a", "c"] and not loomtime.has_timeseries_col(df.select("b"))
