@@ -141,16 +141,16 @@ def describe(df: DataFrame, row: str, group: str, date: str, value: str, categor
                                        F.max(F.when(~odd, F.col("v"))).alias("hi"), F.min("c").alias("k"))
     whole = Window.partitionBy("g")
     order = whole.orderBy("n")
-    past, future = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    future = whole.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)  # a frame open to the end would be read again for each row
     n = F.datediff("d", F.lit("1970-01-01"))
     daily = daily.withColumn("n", n)
     when = lambda x: F.when(F.col(x).isNotNull(), F.col("n"))
     daily = daily.select(
         "*", F.avg("m").over(whole).alias("mean"), F.stddev_pop("m").over(whole).alias("sd"), F.min("lo").over(whole).alias("least"), F.max("hi").over(whole).alias("most"),
         F.last("m", True).over(past).alias("pm"), F.last(when("m"), True).over(past).alias("pn"), F.last("k", True).over(past).alias("pk"), F.last(when("k"), True).over(past).alias("pkn"),
-        F.first("m", True).over(future).alias("fm"), F.first(when("m"), True).over(future).alias("fn"), F.first("k", True).over(future).alias("fk"), F.first(when("k"), True).over(future).alias("fkn"),
+        F.last("m", True).over(future).alias("fm"), F.last(when("m"), True).over(future).alias("fn"), F.last("k", True).over(future).alias("fk"), F.last(when("k"), True).over(future).alias("fkn"),
         F.avg("m").over(order.rangeBetween(-7, -7)).alias("w1"), F.avg("m").over(order.rangeBetween(7, 7)).alias("w2"))
-    daily = checkpointed(daily)  # read twice below
     sd = F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
     day = daily.groupBy("d").agg(F.avg((F.col("m") - F.col("mean")) / sd).alias("sum_day"), F.count("m").alias("of_day"))
     daily = daily.withColumn("sd", sd)
