@@ -99,6 +99,11 @@ class Lexicon:
             self.automaton.add_word(stem, ("w", len(stem)))
         for sign in ("(at)", "[at]", " dot ", "[dot]", "(dot)", "dot\n"):
             self.automaton.add_word(sign, ("s", len(sign)))
+        for word in [w.replace("\\", "") for w in STREETS_DE.split("|")]:
+            self.automaton.add_word(word, ("d", len(word)))
+        for word in {w.replace("\\", "").lower() for w in STREETS_ES.split("|")} | {re.sub(r"\[.*", "", w).lower() for w in LEADS_DE.split("|")}:
+            if word not in self.automaton:
+                self.automaton.add_word(word, ("e", len(word)))
         self.automaton.make_automaton()
 
     def family(self, word: str) -> tuple[bool, bool]:
@@ -134,14 +139,21 @@ def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, tuple]]
                 found[left.start(), right.end(), "email"] = ("@",)
         at = text.find("@", at + 1)
     names: set[int] = set()
+    streets: list[tuple[int, int]] = []  # where an address with its street first can lie
     for end, (kind, length) in lexicon.automaton.iter(_lower(text)):
         begin = end - length + 1
         if kind == "s":
             for m in SPELLED.finditer(text, max(0, begin - 70), min(n, end + 70)):
                 if m.start() == 0 or not (text[m.start() - 1].isalnum() or text[m.start() - 1] in "._+-@"):
                     found[m.start(), m.end(), "email"] = ("spelled",)
+        elif kind == "d":
+            if text[end + 1 : end + 16].lstrip()[:1].isdigit():
+                streets.append((max(0, begin - LONGEST), min(n, end + 24)))
         elif begin == 0 or not (text[begin - 1].isalnum() or text[begin - 1] in "_@"):
-            names.add(begin)
+            if kind == "w":
+                names.add(begin)
+            elif text[begin].isupper():
+                streets.append((begin, min(n, begin + LONGEST + 8)))
     if names:
         _name_candidates(text, names, lexicon, found)
     for m in NUMBER.finditer(text):
@@ -159,8 +171,8 @@ def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, tuple]]
     for m in DOCUMENT_NO.finditer(text):
         body = m.group()
         found[m.start(), m.end(), "id_number"] = (re.sub(r"[A-Z]", "A", re.sub(r"\d+", lambda g: str(len(g.group())), body)), "a", "", sum(map(str.isdigit, body)))
-    for rx, how in ((STREET_NUMBER_FIRST, "first"), (STREET_NAME_FIRST, "last")):
-        for m in rx.finditer(text):
+    for spans, rx, how in ([(0, n)], STREET_NUMBER_FIRST, "first"), (streets, STREET_NAME_FIRST, "last"):
+        for m in (m for a, b in spans for m in rx.finditer(text, a, b)):
             a, b = m.span()
             if b - a > LONGEST or (a and (text[a - 1].isalnum() or text[a - 1] in "_.,/:#-+" and how == "first" or text[a - 1] == "_")) or (b < n and (text[b].isalnum() or text[b] == "_")):
                 continue
