@@ -179,9 +179,8 @@ def regularize(df: DataFrame, source: str = "id", date: str = "date", value: str
     t, v = F.col(date).cast("timestamp"), F.col(value).cast("double")
     ok = F.col(source).isNotNull() & t.isNotNull() & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     rows = df.where(ok).select(F.col(source).cast("string").alias("id"), F.unix_micros(t).alias("t"), v.alias("v"))
-    rows = rows.withColumn("hour", F.expr(f"cast(floor(t / {HOUR}) as bigint)"))
     # distinct readings; both steps combine before they shuffle
-    distinct = rows.groupBy("id", "hour", "t", "v").agg(F.lit(1).alias("one"))
+    distinct = rows.distinct().withColumn("hour", F.expr(f"cast(floor(t / {HOUR}) as bigint)"))
     hourly = distinct.groupBy("id", "hour").agg(F.avg("v").alias("value"), F.count(F.lit(1)).alias("n"))
     ordered = hourly.repartition("id").sortWithinPartitions("id", "hour")
     out = ordered.mapInArrow(_regular, "id string, start_us bigint, value double, n_readings bigint, status string")
