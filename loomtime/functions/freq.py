@@ -53,7 +53,14 @@ class Freq:
     def of(freq: str | Freq) -> Freq:
         if isinstance(freq, Freq):
             return freq
-        n, unit, anchor = parse_freq_str(freq)
+        try:
+            n, unit, anchor = parse_freq_str(freq)
+        except ValueError:  # of several parts, such as 1h30min
+            months, micros = parse_human_duration(freq)
+            if months or micros < 1:
+                raise
+            unit = next(u for u in ("D", "h", "min", "s", "ms", "us") if micros % MICROS[u] == 0)
+            return Freq(micros // MICROS[unit], unit)
         if n < 1:
             raise ValueError("a frequency's quantity is at least 1")
         return Freq(n, canonicalize_frequency_unit(unit), anchor)
@@ -139,6 +146,19 @@ class Freq:
             return F.date_add(day, (steps + 2 * F.floor(w / 5)).cast("int")).cast("timestamp")
         return F.timestamp_micros((F.unix_micros(t) + k * self.micros).cast("bigint"))
 
+    def anchor_of(self, date: Column) -> Column:
+        """The first date from ``date`` on that the frequency itself can hold: ends and starts of periods, given weekdays, business days."""
+        t = date.cast("timestamp")
+        if self.unit == "W" or (self.calendar and self.unit.endswith("E")):
+            return self.label(t)
+        if self.calendar:
+            start = F.to_date(Freq(1, self.unit).floor(t))
+            return F.when(F.to_date(t) == start, t).otherwise(F.add_months(start, MONTHS[self.unit]).cast("timestamp"))
+        if self.unit == "B":
+            day = F.to_date(t)
+            return F.when(F.weekday(day) < 5, t).otherwise(F.date_add(day, 7 - F.weekday(day)).cast("timestamp"))
+        return t
+
     def steps_between(self, first: Column, last: Column) -> Column:
         """Number of whole steps from label ``first`` to label ``last``."""
         if self.calendar:

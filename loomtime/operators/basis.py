@@ -54,13 +54,15 @@ def augment_hilbert(data: DataFrame | Panel, date_column: str, value_column, by:
 
 
 def _kernel(method: str, t: np.ndarray) -> np.ndarray:
+    """Fixed formulas of the three wavelets: centre frequency 1/2 for 'morlet' and 5 for 'analytic_morlet', width 1 for 'bump'."""
+    bell = np.exp(-(t**2) / 2)
     if method == "morlet":
-        return np.exp(1j * 5.0 * t) * np.exp(-(t**2) / 2)
-    if method == "bump":
-        with np.errstate(all="ignore"):
-            return np.where(np.abs(t) < 1, np.exp(-1 / np.where(np.abs(t) < 1, 1 - t**2, 1)), 0).astype(complex)
+        return np.exp(1j * np.pi * t) * bell
     if method == "analytic_morlet":
-        return np.pi**-0.25 * np.exp(1j * 6.0 * t) * np.exp(-(t**2) / 2)
+        return np.exp(10j * np.pi * t) * bell
+    if method == "bump":
+        inside = np.abs(t) < 1
+        return np.where(inside, np.exp(-2 / np.where(inside, 1 - t**2, 1)), 0).astype(complex)
     raise ValueError("method is 'morlet', 'bump' or 'analytic_morlet'")
 
 
@@ -70,14 +72,16 @@ def augment_wavelet(data: DataFrame | Panel, date_column: str, value_column: str
     df, keys = unpack(data, by)
     check_date(df, date_column)
     _kernel(method, np.zeros(1))
+    if not all(scales):
+        raise ValueError("scales are not zero")
 
     def kernel(part: pd.DataFrame) -> pd.DataFrame:
         x = part[value_column].astype(float).fillna(0).to_numpy()
         n = len(x)
-        t = (np.arange(n) - n // 2) / sample_rate
+        t = np.arange(-n // 2, n // 2) / sample_rate
         new = {}
         for s in scales:
-            z = np.convolve(x, np.conj(_kernel(method, t / s)[::-1]), mode="same") / np.sqrt(abs(s)) if n else np.empty(0, complex)
+            z = np.convolve(x, np.conj(_kernel(method, t / s)), mode="same") / np.sqrt(abs(s)) if n else np.empty(0, complex)
             new |= {f"{method}_scale_{s}_real": z.real, f"{method}_scale_{s}_imag": z.imag}
         return part.assign(**new)
 

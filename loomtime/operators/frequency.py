@@ -16,7 +16,7 @@ from loomtime.functions.select import Panel, check_date, unpack
 UNITS = (("sec", 0, 0, 0), ("min", 60, 60, 60), ("hour", 3600, 3600, 3600), ("day", 86400, 86400, 86400), ("week", 604800, 604800, 604800),
          ("month", 2678400, 2419200, 2678400), ("quarter", 7948800, 7776000, 7948800), ("year", 31622400, 31536000, 31622400))
 TEMPLATE = {"S": ("1H", "12H"), "T": ("1D", "14D"), "H": ("1D", "1M"), "D": ("1W", "1Q"), "W": ("1Q", "1Y"), "M": ("1Y", "5Y"), "Q": ("1Y", "10Y"), "Y": ("5Y", "30Y")}
-REGULAR = {"B": "D", "BM": "M", "BME": "ME", "BQ": "Q", "BQE": "QE", "BA": "A", "BYE": "YE", "BY": "Y", "BMS": "MS", "BQS": "QS", "BYS": "YS", "BAS": "AS"}
+REGULAR = {"A-DEC": "Y", "Q-DEC": "Q", "W-SUN": "W", "B": "D", "BM": "M", "BME": "M", "BQ": "Q", "BQE": "Q", "BA": "A", "BYE": "Y", "BY": "Y", "BMS": "MS", "BQS": "QS", "BYS": "YS", "BAS": "AS"}
 _S = {u: (usual, least) for u, usual, least, _ in UNITS}
 
 

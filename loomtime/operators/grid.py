@@ -62,9 +62,12 @@ def pad_by_time(data: DataFrame | Panel, date_column: str, freq: str = "D", star
 
 
 def future_frame(data: DataFrame | Panel, date_column: str, length_out: int | str, freq: str | None = None, force_regular: bool = False,
-                 bind_data: bool = True, by: Sequence[str] = ()) -> DataFrame:
+                 bind_data: bool = True, by: Sequence[str] = (), skip_partial: bool = True) -> DataFrame:
     """Each series with the next ``length_out`` dates after its last one (or the dates alone); the other columns are null there.
 
+    A last date inside a period counts as that period's date (the month's end, the next month's start, the coming weekday) unless ``skip_partial`` is off;
+    then that date is the first of the future.
+
     ``length_out`` is a number of rows, or a duration such as '3 months'. Without ``freq`` it is inferred from the whole table's dates. A series
     without dates has no future; null keys form a series of their own.
     """
@@ -76,12 +79,14 @@ def future_frame(data: DataFrame | Panel, date_column: str, length_out: int | st
         freq = get_frequency(group_first(df, keys, date_column), date_column, force_regular=force_regular)
     f = Freq.of(freq)
     last = df.groupBy(*keys).agg(F.max(F.col(date_column).cast("timestamp")).alias("__last")).where("__last IS NOT NULL")
+    anchor = f.anchor_of(F.col("__last"))
+    first = F.when((anchor > F.col("__last")) & F.lit(not skip_partial), anchor).otherwise(f.plus(anchor, 1))
     if isinstance(length_out, str):
-        ahead = f.grid(f.plus(F.col("__last"), 1), add_duration(F.col("__last"), length_out))
+        ahead = f.grid(first, add_duration(F.col("__last"), length_out))
     else:
         if length_out < 1:
             raise ValueError("length_out is at least 1")
-        ahead = F.transform(F.sequence(F.lit(1), F.lit(int(length_out))), lambda k: f.plus(F.col("__last"), k))
+        ahead = F.transform(F.sequence(F.lit(0), F.lit(int(length_out) - 1)), lambda k: f.plus(first, k))
     future = last.select(*keys, F.explode(ahead).alias(date_column)).withColumn(date_column, F.col(date_column).cast(df.schema[date_column].dataType))
     return df.unionByName(future, allowMissingColumns=True) if bind_data else future
 
@@ -101,7 +106,8 @@ def group_first(df: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
 
 def make_future_timeseries(spark: SparkSession, idx, length_out: int | str, freq: str | None = None, force_regular: bool = False) -> DataFrame:
     """(date): the dates after the last one of a list of dates, or of a one-column frame."""
-    df = idx if isinstance(idx, DataFrame) else spark.createDataFrame([(d,) for d in idx], "date string").select(F.col("date").cast("timestamp").alias("date"))
+    dates = [idx] if isinstance(idx, str) else idx
+    df = idx if isinstance(idx, DataFrame) else spark.createDataFrame([(str(d),) for d in dates], "date string").select(F.col("date").cast("timestamp").alias("date"))
     return future_frame(df, df.columns[0], length_out, freq, force_regular, bind_data=False)
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomtime.runtime import checkpointed, partitions
+from loomtime.runtime import checkpointed, range_partitions
 
 
 def sorted_once(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
@@ -17,7 +17,7 @@ def sorted_once(df: DataFrame, *keys: str, parts: int | None = None) -> DataFram
     Equal keys share a partition; a hot leading key spreads over as many partitions as its rows need. Later jobs over the
     result see the same partitions under the same numbers, whatever happens to the executors.
     """
-    ordered = df.repartitionByRange(parts or partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    ordered = df.repartitionByRange(parts or range_partitions(df), *keys).sortWithinPartitions(*keys)
     return checkpointed(ordered)
 
 

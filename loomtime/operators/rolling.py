@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -174,10 +173,19 @@ def augment_expanding(data: DataFrame | Panel, date_column: str, value_column, w
     return out
 
 
+def _plain(value, kind: str):
+    """A function's result as Spark takes it: a number, or a mapping or series as a map, or an array."""
+    if kind == "double":
+        return float(value)
+    if kind.startswith("map"):
+        return {str(k): float(v) for k, v in (value.items() if hasattr(value, "items") else enumerate(value))}
+    return [float(v) for v in value]
+
+
 def augment_rolling_apply(data: DataFrame | Panel, date_column: str, window_func, window=2, min_periods: int | None = None, center: bool = False,
-                          by: Sequence[str] = (), order_by=None) -> DataFrame:
-    """rolling_name_win_w for each (name, function) and window: the function gets the pandas frame of the window's rows (all columns) and returns a number. A
-    function from a window to a Column, as (name, lambda w: F.corr('a', 'b').over(w)), stays an expression."""
+                          by: Sequence[str] = (), order_by=None, return_type: str = "double") -> DataFrame:
+    """rolling_name_win_w for each (name, function) and window: the function gets the pandas frame of the window's rows (all columns) and returns a number, or with
+    ``return_type`` 'map<string,double>' or 'array<double>' several. A function from a window to a Column, as (name, lambda w: F.max('a').over(w)), stays an expression."""
     df, keys = unpack(data, by)
     check_date(df, date_column)
     ties = [order_by] if isinstance(order_by, str) else list(order_by or ())
@@ -201,15 +209,12 @@ def augment_rolling_apply(data: DataFrame | Panel, date_column: str, window_func
             n = len(part)
             new = {}
             for name, f, before, after, least in custom:
-                r = np.full(n, np.nan)
-                for i in range(n):
-                    a, b = max(0, i - before), min(n, i + after + 1)
-                    if b - a >= least:
-                        r[i] = f(part.iloc[a:b])
-                new[name] = r
-            return part.assign(**new)
-
-        res = whole_series(res, keys, [date_column, *ties], [T.StructField(n, T.DoubleType()) for n, *_ in custom], whole)
+                spans = [(max(0, i - before), min(n, i + after + 1)) for i in range(n)]
+                new[name] = [_plain(f(part.iloc[a:b]), return_type) if b - a >= least else None for a, b in spans]
+            return part.assign(**{k: pd.Series(v, dtype=float if return_type == "double" else object) for k, v in new.items()})
+
+        kind = T.DataType.fromDDL(return_type)
+        res = whole_series(res, keys, [date_column, *ties], [T.StructField(n, kind) for n, *_ in custom], whole)
     return res
 
 
@@ -231,7 +236,8 @@ def _as_column(f, w) -> Column | None:
     return c if isinstance(c, Column) else None
 
 
-def augment_expanding_apply(data: DataFrame | Panel, date_column: str, window_func, min_periods: int | None = None, by: Sequence[str] = (), order_by=None) -> DataFrame:
+def augment_expanding_apply(data: DataFrame | Panel, date_column: str, window_func, min_periods: int | None = None, by: Sequence[str] = (), order_by=None,
+                            return_type: str = "double") -> DataFrame:
     """expanding_name for each (name, function): the function gets the pandas frame of the series up to the row, or is a function from a window to a Column."""
     df, keys = unpack(data, by)
     check_date(df, date_column)
@@ -248,9 +254,11 @@ def augment_expanding_apply(data: DataFrame | Panel, date_column: str, window_fu
     res = df.withColumns(native)
     if custom:
         def whole(part: pd.DataFrame) -> pd.DataFrame:
-            return part.assign(**{name: [f(part.iloc[: i + 1]) if i + 1 >= least else np.nan for i in range(len(part))] for name, f in custom})
+            new = {name: [_plain(f(part.iloc[: i + 1]), return_type) if i + 1 >= least else None for i in range(len(part))] for name, f in custom}
+            return part.assign(**{k: pd.Series(v, dtype=float if return_type == "double" else object) for k, v in new.items()})
 
-        res = whole_series(res, keys, [date_column, *ties], [T.StructField(n, T.DoubleType()) for n, *_ in custom], whole)
+        kind = T.DataType.fromDDL(return_type)
+        res = whole_series(res, keys, [date_column, *ties], [T.StructField(n, kind) for n, *_ in custom], whole)
     return res
 
 

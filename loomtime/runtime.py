@@ -36,14 +36,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a frame's size; nothing runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def range_partitions(df: DataFrame, each: int = 8_000_000) -> int:
+    """Partitions for a global sort whose tasks hold a partition in memory: the session's number, or more (at most eight times it) where
+    partitions would pass ``each`` bytes of estimated size."""
+    asked = partitions(df.sparkSession)
+    return max(asked, min(estimated_bytes(df) // each, 8 * asked))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` for a costly Python stage: an input of less than one full split a core is dealt out evenly first, as a few row groups would keep most
     cores idle; larger ones already have tasks enough and aren't moved. Only the planner's size estimate is read."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(4 * cores) if size < cores * split else df
+    return df.repartition(4 * cores) if estimated_bytes(df) < cores * split else df
 
 
 def nan_to_null(column):

@@ -197,6 +197,11 @@ def test_apply_windows(spark):
     assert out.rolling_span_win_4[5] == 25 - 2
     e = rolling.augment_expanding_apply(df, "date", [("total", lambda p: p["a"].sum())]).orderBy("date").toPandas()
     assert e.expanding_total.iloc[-1] == 66
+    fit = lambda p: pd.Series(np.polyfit(p["a"], p["b"], 1), index=["slope", "start"])
+    many = rolling.augment_rolling_apply(df, "date", ("line", fit), 3, return_type="map<string,double>").orderBy("date").collect()
+    assert many[1]["rolling_line_win_3"] is None and many[5]["rolling_line_win_3"]["slope"] == pytest.approx(8)
+    pair = rolling.augment_expanding_apply(df, "date", ("ends", lambda p: [p["a"].min(), p["a"].max()]), 2, return_type="array<double>").orderBy("date").collect()
+    assert pair[0]["expanding_ends"] is None and pair[4]["expanding_ends"] == [0, 4]
 
 
 @pytest.mark.parametrize("settings", [{"alpha": 0.3, "adjust": False}, {"span": 7}, {"halflife": 3.0, "ignore_na": True}, {"com": 2.0, "adjust": False, "min_periods": 3}])
@@ -429,3 +434,22 @@ def test_public_names(spark):
         loomtime.nope  # noqa: B018
     df = spark.createDataFrame([("2023-01-01", "x", dt.datetime(2023, 1, 1))], "a string, b string, c timestamp")
     assert loomtime.get_timeseries_cols(df) == ["a", "c"] and not loomtime.has_timeseries_col(df.select("b"))
+
+
+@pytest.mark.parametrize("idx,n,freq,start,step", [
+    ("2011-01-01", 5, "D", "2011-01-02", "D"), (["2010-12-31", "2011-01-01"], 5, None, "2011-01-02", "D"), (["2011-01-01", "2011-02-01"], 4, "H", "2011-02-01 01:00", "h"),
+    ("2011-01-01", 5, "MS", "2011-02-01", "MS"), (["2010-12-01", "2011-01-01"], 5, None, "2011-02-01", "MS"), (["2011-01-01", "2011-02-01"], 4, "D", "2011-02-02", "D"),
+    ("2011-01-01", 5, "Q", "2011-06-30", "QE"), (["2011-01-01", "2011-04-01"], 5, None, "2011-07-01", "QS"), ("2011-01-01", 5, "1H30min", "2011-01-01 01:30", "90min"),
+    ("2024-01-15", 2, "MS", "2024-03-01", "MS"), ("2022-01-08", 3, "B", "2022-01-11", "B"), ("2022-01-04", 2, "W", "2022-01-16", "W")])
+def test_future_dates(spark, idx, n, freq, start, step):
+    got = [r["date"] for r in grid.make_future_timeseries(spark, idx, n, freq).orderBy("date").collect()]
+    assert got == [t.to_pydatetime() for t in pd.date_range(start, periods=n, freq=step)]
+
+
+@pytest.mark.parametrize("freq,days_between,unit,season,trend", [("D", 1, "D", "1W", "1Q"), ("W", 7, "W", "1Q", "1Y"), ("ME", 31, "M", "1Y", "5Y"), ("QE", 92, "Q", "1Y", "10Y"), ("YE", 365, "Y", "5Y", "30Y")])
+def test_frequency_tables(spark, freq, days_between, unit, season, trend):
+    df = spark.createDataFrame(pd.DataFrame({"date": pd.date_range("2021-01-01", "2023-12-31", freq=freq)}))
+    s = frequency.get_frequency_summary(df, "date", True)
+    assert (s["freq_median_seconds"], s["freq_median_scale"], s["freq_median_unit"]) == (days_between * 86400, 1.0, unit)
+    assert freq != "W" or s["freq_inferred_unit"] == "W"
+    assert frequency.get_seasonal_frequency(df, "date") == season and frequency.get_trend_frequency(df, "date") == trend
