@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtime.runtime import checkpointed, partitions
+from loomtime.runtime import checkpointed, range_partitions
 
 
 def value_runs(df: DataFrame, by: str, value: str) -> DataFrame:
@@ -71,9 +71,8 @@ def percentiles_of_runs(runs: DataFrame, probabilities: Sequence[float], names:
     """(by, n, one column a probability) from a summary (by, value, n); see ``percentiles``."""
     if not all(0 <= p <= 1 for p in probabilities):
         raise ValueError("probabilities lie between 0 and 1")
-    spark = runs.sparkSession
     key = runs.schema["by"].dataType
-    ordered = runs.repartitionByRange(parts or partitions(spark), "by", "value").sortWithinPartitions("by", "value")
+    ordered = runs.repartitionByRange(parts or range_partitions(runs), "by", "value").sortWithinPartitions("by", "value")
     ordered = checkpointed(ordered)
 
     edge_schema = T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("by", key), T.StructField("n", T.LongType())])
