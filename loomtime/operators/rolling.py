@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,6 +88,14 @@ def _guarded(value: Column, x: Column, w, least: int) -> Column:
     return F.when(F.count(x).over(w) >= least, value) if least > 0 else value
 
 
+def _as_pandas(f):
+    """A function for pandas' windows: quantiles as functions of an array."""
+    if isinstance(f, Quantile) or f == "quantile":
+        q = f if isinstance(f, Quantile) else Quantile()
+        return lambda x: np.nanquantile(x, q.q, method=q.interpolation)
+    return f
+
+
 def _pandas_window(name, window: int | None, least: int, center: bool):
     def apply(g: pd.Series):
         r = g.rolling(window, min_periods=least, center=center) if window else g.expanding(min_periods=least)
@@ -98,12 +107,15 @@ def _pandas_window(name, window: int | None, least: int, center: bool):
 
 
 def augment_rolling(data: DataFrame | Panel, date_column: str, value_column, window_func="mean", window=2, min_periods: int | None = None,
-                    center: bool = False, by: Sequence[str] = (), order_by=None) -> DataFrame:
+                    center: bool = False, by: Sequence[str] = (), order_by=None, hot: bool = False) -> DataFrame:
     """value_rolling_function_win_w over the last w rows of the series (centred ones: w // 2 before).
 
     ``min_periods`` defaults to the first window and stays so for further ones. Null and NaN values don't count. Named functions are window
-    expressions; a (name, function over an array) pair runs in Arrow batches with the rows it looks back on.
+    expressions; a (name, function over an array) pair runs in Arrow batches with the rows it looks back on. ``hot`` runs named functions so, too:
+    a series too long for one task's sort is then cut over the cluster.
     """
+    if hot and center:
+        raise ValueError("a centred window looks ahead; hot series are cut with the rows before only")
     df, keys = unpack(data, by)
     check_date(df, date_column)
     values = resolve_column_selection(df, value_column)
@@ -117,7 +129,9 @@ def augment_rolling(data: DataFrame | Panel, date_column: str, value_column, win
             x = numeric(df, v)
             for label, f in _functions(window_func):
                 name = f"{v}_rolling_{label}_win_{size}"
-                if isinstance(f, str) and f in NATIVE:
+                if hot:
+                    custom.append((name, v, _as_pandas(f), size, least))
+                elif isinstance(f, str) and f in NATIVE:
                     new[name] = _guarded(NATIVE[f](x, w), F.lit(1) if f == "count" else x, w, least)
                 elif isinstance(f, Quantile):
                     new[name] = _guarded(_quantile(x, w, f), x, w, least)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtime.functions.freq import add_duration
-from loomtime.functions.select import Panel, check_date, resolve_column_selection, unpack
+from loomtime.functions.select import Panel, check_date, check_values, resolve_column_selection, unpack
+from loomtime.operators.series import series_map
 
 
 def order_window(keys: Sequence[str], date: str, tie: str | Sequence[str] | None = None):
@@ -56,8 +58,22 @@ def _shift(data, date_column, value_column, spec, by, tie, make) -> DataFrame:
     return df.withColumns({name: c for v in values for k in steps_of(spec) for name, c in make(v, k, w)})
 
 
-def augment_lags(data: DataFrame | Panel, date_column: str, value_column, lags=1, by: Sequence[str] = (), order_by=None) -> DataFrame:
-    """value_lag_k for each k: the value k rows before in the series (null where there is none)."""
+def augment_lags(data: DataFrame | Panel, date_column: str, value_column, lags=1, by: Sequence[str] = (), order_by=None, hot: bool = False) -> DataFrame:
+    """value_lag_k for each k: the value k rows before in the series (null where there is none). ``hot`` cuts a series too long for one task's sort over the
+    cluster (numbers only, as doubles)."""
+    if hot:
+        df, keys = unpack(data, by)
+        check_date(df, date_column)
+        values = resolve_column_selection(df, value_column)
+        check_values(df, values)
+        steps = steps_of(lags)
+        names = {(v, k): f"{v}_lag_{k}" for v in values for k in steps}
+
+        def kernel(body: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({n: body.groupby("__s", sort=False)[v].shift(k) for (v, k), n in names.items()})
+
+        ties = [order_by] if isinstance(order_by, str) else list(order_by or ())
+        return series_map(df, keys, [date_column, *ties], values, [(n, "double") for n in names.values()], kernel, max(steps))
     return _shift(data, date_column, value_column, lags, by, order_by, lambda v, k, w: [(f"{v}_lag_{k}", F.lag(v, k).over(w))])
 
 

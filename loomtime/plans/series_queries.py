@@ -382,19 +382,37 @@ def ppo(spark, folder):
     return _round(finance.augment_ppo(group(stocks(spark, folder), "symbol"), "date", "close"), "close_ppo_line_12_26")
 
 
-@query()
+_KEEP = ", ".join("k." + c.strip() for c in _STK.split(","))
+_B = "13.0::DOUBLE / 14"
+
+
+@query(f"""WITH RECURSIVE {_TR}, m AS (SELECT symbol, date, tr, row_number() {_S} AS i, high - lag(high) {_S} AS u, lag(low) {_S} - low AS d FROM t),
+v AS (SELECT symbol, date, i, tr, CASE WHEN u > d THEN greatest(u, 0) ELSE 0 END AS p, CASE WHEN d > u THEN greatest(d, 0) ELSE 0 END AS q FROM m),
+e(symbol, date, i, t, p, q) AS (SELECT symbol, date, i, CAST(tr AS DOUBLE), CAST(p AS DOUBLE), CAST(q AS DOUBLE) FROM v WHERE i = 1
+UNION ALL SELECT v.symbol, v.date, v.i, {_B} * e.t + v.tr / 14, {_B} * e.p + v.p / 14, {_B} * e.q + v.q / 14 FROM e JOIN v ON v.symbol = e.symbol AND v.i = e.i + 1),
+x AS (SELECT symbol, date, i, 100 * p / t AS pdi, 100 * q / t AS mdi, 100 * abs(p - q) / nullif(p + q, 0) AS dx FROM e WHERE i >= 14),
+a(symbol, date, i, adx) AS (SELECT symbol, date, i, dx FROM x WHERE i = 14 UNION ALL SELECT x.symbol, x.date, x.i, {_B} * a.adx + x.dx / 14 FROM a JOIN x ON x.symbol = a.symbol AND x.i = a.i + 1)
+SELECT {_KEEP}, {_r('pdi', 'close_plus_di_14', 5)}, {_r('mdi', 'close_minus_di_14', 5)}, {_r('CASE WHEN a.i >= 27 THEN adx END', 'close_adx_14', 5)}
+FROM stocks k LEFT JOIN x ON x.symbol = k.symbol AND x.date = k.date LEFT JOIN a ON a.symbol = k.symbol AND a.date = k.date""")
 def adx(spark, folder):
-    return finance.augment_adx(group(stocks(spark, folder), "symbol"), "date", "high", "low", "close")
+    return _round(finance.augment_adx(group(stocks(spark, folder), "symbol"), "date", "high", "low", "close"), "close_plus_di_14", "close_minus_di_14", "close_adx_14", digits=5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {STOCKS}, q AS (SELECT symbol, date, power(ln(close / lag(close) {_S}), 2) AS v, row_number() {_S} AS i FROM stocks),
+e(symbol, date, i, a) AS (SELECT symbol, date, i, v FROM q WHERE i = 2 UNION ALL SELECT q.symbol, q.date, q.i, 0.94::DOUBLE * e.a + 0.06::DOUBLE * q.v FROM e JOIN q ON q.symbol = e.symbol AND q.i = e.i + 1)
+SELECT {_KEEP}, {_r('CASE WHEN e.i >= 21 THEN sqrt(a) END', 'close_ewma_vol', 7)} FROM stocks k LEFT JOIN e ON e.symbol = k.symbol AND e.date = k.date""")
 def ewma_volatility(spark, folder):
-    return finance.augment_ewma_volatility(group(stocks(spark, folder), "symbol"), "date", "close")
+    out = finance.augment_ewma_volatility(group(stocks(spark, folder), "symbol"), "date", "close").withColumnRenamed("close_ewma_vol_20_0.94", "close_ewma_vol")
+    return _round(out, "close_ewma_vol", digits=7)
 
 
-@query()
+@query(f"""WITH {STOCKS}, r AS (SELECT symbol, date, close, row_number() {_S} AS i FROM stocks),
+w AS (SELECT a.symbol, a.date, a.i, b.i AS j, b.close - avg(b.close) OVER (PARTITION BY a.symbol, a.i) AS d FROM r a JOIN r b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 59 AND a.i WHERE a.i >= 60),
+c AS (SELECT symbol, date, d, sum(d) OVER (PARTITION BY symbol, i ORDER BY j) AS s FROM w),
+h AS (SELECT symbol, date, ln((max(s) - min(s)) / sqrt(avg(d * d))) / ln(60) AS h FROM c GROUP BY symbol, date HAVING avg(d * d) > 0)
+SELECT {_KEEP}, {_r('CASE WHEN h BETWEEN 0 AND 1 THEN h END', 'close_hurst_60')} FROM stocks k LEFT JOIN h ON h.symbol = k.symbol AND h.date = k.date""")
 def hurst_exponent(spark, folder):
-    return finance.augment_hurst_exponent(group(stocks(spark, folder), "symbol"), "date", "close", 60)
+    return _round(finance.augment_hurst_exponent(group(stocks(spark, folder), "symbol"), "date", "close", 60), "close_hurst_60")
 
 
 @query()
@@ -447,9 +465,26 @@ def anomalize_stl(spark, folder):
     return decompose.anomalize(group(daily(spark, folder), "id"), "date", "value", 7, 91)
 
 
-@query()
+_TWITTER = f"""WITH {DAILY}, r AS (SELECT id, date, value AS v, row_number() {_W} - 1 AS i, count(*) OVER (PARTITION BY id) AS n FROM daily),
+t AS (SELECT *, CASE WHEN i >= 3 AND i < n - 3 THEN avg(v) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) END AS tr FROM r WHERE n >= 14),
+h AS (SELECT id, regr_slope(tr, i) FILTER (i < 10) AS hs, regr_intercept(tr, i) FILTER (i < 10) AS hi, regr_slope(tr, i) FILTER (i >= n - 10) AS ts, regr_intercept(tr, i) FILTER (i >= n - 10) AS ti FROM t GROUP BY id),
+f AS (SELECT t.id, t.i, t.v - coalesce(tr, CASE WHEN i < 3 THEN hs * i + hi ELSE ts * i + ti END) AS free FROM t JOIN h ON t.id = h.id),
+s AS (SELECT id, ph, a - avg(a) OVER (PARTITION BY id) AS season FROM (SELECT id, i % 7 AS ph, avg(free) AS a FROM f GROUP BY 1, 2)),
+a AS (SELECT r.*, coalesce(season, 0) AS season, v - coalesce(season, 0) AS adj, CAST(greatest(1, round(n / 91)) AS BIGINT) AS k FROM r LEFT JOIN s ON r.id = s.id AND r.i % 7 = s.ph),
+b AS (SELECT *, CASE WHEN i < (n % k) * (n // k + 1) THEN i // (n // k + 1) ELSE n % k + (i - (n % k) * (n // k + 1)) // (n // k) END AS block FROM a),
+c AS (SELECT *, median(adj) OVER (PARTITION BY id, block) AS level FROM b), d AS (SELECT *, adj - level AS rest FROM c),
+q AS (SELECT id, quantile_cont(rest, 0.25) AS q1, quantile_cont(rest, 0.75) AS q3 FROM d GROUP BY id),
+l AS (SELECT d.*, -(q1 + 3 * (q3 - q1)) AS l1, q3 + 3 * (q3 - q1) AS l2 FROM d JOIN q ON d.id = q.id),
+z AS (SELECT *, CASE WHEN rest > l2 THEN 1 WHEN rest < l1 THEN -1 ELSE 0 END AS way FROM l)
+SELECT id, date, {_r('season', 'seasonal', 4)}, {_r('adj', 'seasadj', 4)}, {_r('level', 'trend', 4)}, {_r('rest', 'remainder', 4)}, CASE WHEN way <> 0 THEN 'Yes' ELSE 'No' END AS anomaly, {_r('abs(rest - (l1 + l2) / 2)', 'anomaly_score', 4)},
+CAST(way AS INTEGER) AS anomaly_direction, {_r('season + level + l1', 'recomposed_l1', 4)}, {_r('season + level + l2', 'recomposed_l2', 4)},
+{_r('CASE way WHEN 1 THEN season + level + l2 - 0.125 * (l2 - l1) WHEN -1 THEN season + level + l1 + 0.125 * (l2 - l1) ELSE v END', 'observed_clean', 4)} FROM z"""
+
+
+@query(_TWITTER)
 def anomalize_twitter(spark, folder):
-    return decompose.anomalize(group(daily(spark, folder), "id"), "date", "value", 7, 91, method="twitter", clean="linear")
+    out = decompose.anomalize(group(daily(spark, folder), "id"), "date", "value", 7, 91, method="twitter", bind_data=False).drop("observed")
+    return _round(out, digits=4)
 
 
 @query()
@@ -476,6 +511,12 @@ def seasonal_diagnostics(spark, folder):
     return decompose.seasonal_diagnostics(group(read_table(spark, folder, "events"), "event_type"), "ts", "value", ["hour", "wday.lbl"])
 
 
+@query(f"""WITH {DAILY}, m AS (SELECT *, value <= median(value) OVER (PARTITION BY id) AS above FROM daily), c AS (SELECT *, above <> lag(above) {_W} AS moved FROM m)
+SELECT id, count(*)::DOUBLE AS series_length, coalesce(sum(CAST(moved AS INTEGER)), 0)::DOUBLE AS crossing_points FROM c GROUP BY id""")
+def ts_features_counts(spark, folder):
+    return tsfeatures.ts_features(group(daily(spark, folder), "id"), "date", "value", ["series_length", "crossing_points"], 7, scale=False)
+
+
 @query()
 def ts_features(spark, folder):
     return tsfeatures.ts_features(group(daily(spark, folder), "id"), "date", "value", freq=7)

@@ -453,3 +453,16 @@ def test_frequency_tables(spark, freq, days_between, unit, season, trend):
     assert (s["freq_median_seconds"], s["freq_median_scale"], s["freq_median_unit"]) == (days_between * 86400, 1.0, unit)
     assert freq != "W" or s["freq_inferred_unit"] == "W"
     assert frequency.get_seasonal_frequency(df, "date") == season and frequency.get_trend_frequency(df, "date") == trend
+
+
+def test_hot_series_are_cut(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"g": ["hot"] * 900 + ["b"] * 60 + [None] * 5, "date": [*pd.date_range("2020-01-01", periods=900, freq="h"), *days("2020-01-01", 60), *days("2020-01-01", 5)], "value": rng.normal(size=965)})
+    df = spark.createDataFrame(pdf, "g string, date timestamp, value double").repartition(6)
+    plain = rolling.augment_rolling(shift.augment_lags(df, "date", "value", [1, 30], by=["g"]), "date", "value", ["mean", "std", "max", "quantile"], [5, 200], by=["g"])
+    cut = rolling.augment_rolling(shift.augment_lags(df, "date", "value", [1, 30], by=["g"], hot=True), "date", "value", ["mean", "std", "max", "quantile"], [5, 200], by=["g"], hot=True)
+    a, b = (x.toPandas().sort_values(["g", "date"]).reset_index(drop=True)[plain.columns] for x in (plain, cut))
+    pd.testing.assert_frame_equal(a, b, check_exact=False, atol=1e-9)
+    assert cut.rdd.getNumPartitions() > 1
+    with pytest.raises(ValueError):
+        rolling.augment_rolling(df, "date", "value", hot=True, center=True)
