@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtime.operators.ranges import runs_of
+from loomtime.runtime import partitions
 
 HOUR = 3_600_000_000
 BUCKET = 336  # two weeks
@@ -182,6 +183,6 @@ def regularize(df: DataFrame, source: str = "id", date: str = "date", value: str
     # distinct readings; both steps combine before they shuffle
     distinct = rows.distinct().withColumn("hour", F.expr(f"cast(floor(t / {HOUR}) as bigint)"))
     hourly = distinct.groupBy("id", "hour").agg(F.avg("v").alias("value"), F.count(F.lit(1)).alias("n"))
-    ordered = hourly.repartition("id").sortWithinPartitions("id", "hour")
+    ordered = hourly.repartition(partitions(df.sparkSession), "id").sortWithinPartitions("id", "hour")
     out = ordered.mapInArrow(_regular, "id string, start_us bigint, value double, n_readings bigint, status string")
     return out.select(F.col("id").alias(source), F.timestamp_micros("start_us").alias("hour_start"), "value", "n_readings", "status")
