@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from loomtime.functions.select import Panel, unpack
+from loomtime.operators.series import grouped
 
 
 def parallel_apply(data: DataFrame | Panel, func: Callable[[pd.DataFrame], object], schema: str | T.StructType | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -30,7 +31,7 @@ def parallel_apply(data: DataFrame | Panel, func: Callable[[pd.DataFrame], objec
             out[k] = part[k].iloc[0]
         return out[full.names]
 
-    return df.groupBy(*keys).applyInPandas(each, full)
+    return grouped(df, keys).applyInPandas(each, full)
 
 
 def progress_apply(data: DataFrame | Panel, func: Callable[[pd.DataFrame], object], schema: str | T.StructType | None = None, by: Sequence[str] = ()) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtime.operators.ranges import runs_of, sorted_once, whole_partition
-from loomtime.runtime import free_name
+from loomtime.runtime import free_name, partitions
 
 
 def memory_of(alpha: float) -> int:
@@ -122,8 +122,9 @@ def whole_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], field
 
 
 def grouped(df: DataFrame, keys: Sequence[str]):
-    """``df`` grouped by keys, or as one group."""
+    """``df`` grouped by keys, or as one group. The number of partitions is given, as adaptive execution would put small groups of little data but
+    long Python work into one task."""
     if keys:
-        return df.groupBy(*keys)
+        return df.repartition(partitions(df.sparkSession), *keys).groupBy(*keys)
     one = free_name(df, "one")
     return df.withColumn(one, F.lit(0)).groupBy(one)
