@@ -4,7 +4,7 @@ Readings are first reduced to one mean per source and hour, on every executor be
 source weighs no more than its hours. The hours of a source, sorted, then pass through one Arrow stage: the missing hours between its first and
 last reading are added and the series is cut into buckets of ``BUCKET`` hours of absolute time. All buckets of a partition are imputed side by side: the bucket
 is embedded as a Hankel trajectory of ``LAG`` hours, projected on its leading singular vectors, averaged back along the diagonals,
-and the missing entries are replaced until they stop moving.
+and the missing entries are replaced until they stop moving; a bucket that doesn't is marked.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ HOUR = 3_600_000_000
 BUCKET = 336  # two weeks
 LAG = 24
 RANK = 4  # level, and a daily wave with a change of its height
-ROUNDS = 8
 SETTLED = 2e-3  # of the bucket's standard deviation
+SAFETY = 2000  # rounds after which a bucket that still moves is given up and marked
+BLOCK = 16  # buckets embedded at once
 
 
 def _interpolate(x: np.ndarray, known: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -50,56 +51,76 @@ def _first_guess(x: np.ndarray, known: np.ndarray, size: np.ndarray) -> np.ndarr
     return course + _interpolate(np.where(known, x - course, 0.0), known, size)
 
 
-def impute(x: np.ndarray, known: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Buckets (rows, padded to one width) with unknown entries filled; only the first ``size`` entries of a row count.
-
-    Rows of fewer than 2*LAG entries, or with fewer than LAG known ones, are filled by their mean day and straight lines; a row without a
-    known entry stays NaN."""
-    n, width = x.shape
+def _settle(y: np.ndarray, known: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Replaces the gaps of standardized buckets in place until each bucket moves by at most SETTLED in a round whose singular vectors are exact;
+    the rows that did. A bucket is given up after SAFETY rounds or four times the range of what is known."""
+    width = y.shape[1]
     inside = np.arange(width) < size[:, None]
+    windows = (np.arange(width - LAG + 1) <= (size - LAG)[:, None]).astype(float)
+    cover = np.zeros(y.shape)
+    for j in range(LAG):
+        cover[:, j : j + windows.shape[1]] += windows
+    cover = np.maximum(cover, 1)
+    gap = inside & ~known
+    limit = 4 * np.abs(np.where(known, y, 0)).max(1)
+    settled, live, base = np.zeros(len(y), bool), np.arange(len(y)), np.empty((len(y), LAG, RANK))
+    exact = np.ones(len(y), bool)  # decomposed anew this round
+    for _ in range(SAFETY):
+        keep = []
+        for a in range(0, len(live), BLOCK):
+            r = live[a : a + BLOCK]
+            was = y[r]
+            seen = np.lib.stride_tricks.sliding_window_view(was, windows.shape[1], axis=1) * windows[r, None]
+            cov = np.matmul(seen, seen.transpose(0, 2, 1))
+            new = exact[r]
+            if new.any():
+                _, vectors = np.linalg.eigh(cov[new])
+                base[r[new]] = vectors[:, :, -RANK:]
+            if not new.all():  # the leading singular vectors move little: one step of subspace iteration follows them
+                base[r[~new]], _ = np.linalg.qr(np.matmul(cov[~new], base[r[~new]]))
+            rank = np.matmul(base[r], np.matmul(base[r].transpose(0, 2, 1), seen))
+            smooth = np.zeros(was.shape)
+            for j in range(LAG):
+                smooth[:, j : j + rank.shape[2]] += rank[:, j]
+            step = np.where(gap[r], smooth / cover[r] - was, 0)
+            y[r] = was + step
+            still = np.abs(step).max(1) > SETTLED
+            settled[r] = ~still & new
+            exact[r] = ~still & ~new
+            keep.append(r[~settled[r] & (np.abs(y[r]).max(1) <= limit[r])])
+        live = np.concatenate(keep)
+        if not len(live):
+            break
+    return settled
+
+
+def fill(x: np.ndarray, known: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets (rows, padded to one width) with unknown entries filled, and the rows whose imputation was given up; only the first ``size``
+    entries of a row count.
+
+    Rows of fewer than 2*LAG entries, or with fewer than LAG known ones, are filled by their mean day and straight lines; so are the rows given
+    up: those that move on after SAFETY rounds, and those that settle or run off beyond twice the range of what is known. A row without a known entry stays NaN."""
     filled = _first_guess(np.where(known, x, 0.0), known, size)
     count = known.sum(1)
     filled[count == 0] = np.nan
-    todo = np.flatnonzero((size >= 2 * LAG) & (count >= LAG) & (count < size))
-    for a in range(0, len(todo), 256):
-        r = todo[a : a + 256]
-        y, k, s = filled[r], known[r], size[r]
-        ins = inside[r]
-        mean = (np.where(k, y, 0).sum(1) / count[r])[:, None]
-        spread = np.sqrt((np.where(k, y - mean, 0) ** 2).sum(1) / count[r])[:, None]
+    lost = np.zeros(len(x), bool)
+    r = np.flatnonzero((size >= 2 * LAG) & (count >= LAG) & (count < size))
+    if len(r):
+        y, k, n = filled[r], known[r], count[r]
+        mean = (np.where(k, y, 0).sum(1) / n)[:, None]
+        spread = np.sqrt((np.where(k, y - mean, 0) ** 2).sum(1) / n)[:, None]
         spread[spread == 0] = 1
-        y = np.where(ins, (y - mean) / spread, 0)
-        start = y.copy()
-        windows = np.arange(width - LAG + 1) <= (s - LAG)[:, None]
-        cover = np.zeros(y.shape)
-        for j in range(LAG):
-            cover[:, j : j + windows.shape[1]] += windows
-        cover = np.maximum(cover, 1)
-        live, base = np.arange(len(r)), None
-        for _ in range(ROUNDS):
-            seen = np.lib.stride_tricks.sliding_window_view(y[live], LAG, axis=1) * windows[live, :, None]
-            cov = np.matmul(seen.transpose(0, 2, 1), seen)
-            if base is None:
-                _, vectors = np.linalg.eigh(cov)
-                base = vectors[:, :, -RANK:]
-            else:  # the leading singular vectors move little: one step of subspace iteration follows them
-                base, _ = np.linalg.qr(np.matmul(cov, base[keep]))
-            rank = np.matmul(np.matmul(seen, base), base.transpose(0, 2, 1))
-            smooth = np.zeros((len(live), width))
-            for j in range(LAG):
-                smooth[:, j : j + rank.shape[1]] += rank[:, :, j]
-            smooth /= cover[live]
-            gap = ins[live] & ~k[live]
-            moved = np.where(gap, np.abs(smooth - y[live]), 0).max(1)
-            y[live] = np.where(gap, smooth, y[live])
-            keep = moved > SETTLED
-            live = live[keep]
-            if not len(live):
-                break
-        bound = np.abs(np.where(k, start, 0)).max(1)[:, None]  # a fill never leaves twice the range of what is known
-        y = np.where(np.abs(y) <= 2 * bound, y, start)
-        filled[r] = y * spread + mean
-    return np.where(known, x, filled)
+        y = np.where(np.arange(x.shape[1]) < size[r, None], (y - mean) / spread, 0)
+        bound = 2 * np.abs(np.where(k, y, 0)).max(1)
+        good = _settle(y, k, size[r]) & (np.abs(y).max(1) <= bound)
+        filled[r[good]] = (y * spread + mean)[good]
+        lost[r] = ~good
+    return np.where(known, x, filled), lost
+
+
+def impute(x: np.ndarray, known: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``fill`` without its marks."""
+    return fill(x, known, size)[0]
 
 
 def _series(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
@@ -158,10 +179,11 @@ def _grid(names, hour, value, n, src, first, length, a: int, b: int) -> Iterator
     table, mask = np.zeros((len(begin), BUCKET)), np.zeros((len(begin), BUCKET), bool)
     place = np.arange(len(x)) - begin[which]
     table[which, place], mask[which, place] = np.where(known, x, 0), known
-    full = impute(table, mask, width)[which, place]
+    full, lost = fill(table, mask, width)
+    full = full[which, place]
     empty = ~known & np.isnan(full)
-    status = np.where(known, 0, np.where(empty, 2, 1))
-    labels = pa.DictionaryArray.from_arrays(pa.array(status, pa.int8()), pa.array(["observed", "filled", "missing"])).dictionary_decode()
+    status = np.where(known, 0, np.where(empty, 2, np.where(lost[which], 3, 1)))
+    labels = pa.DictionaryArray.from_arrays(pa.array(status, pa.int8()), pa.array(["observed", "filled", "missing", "unsettled"])).dictionary_decode()
     for s in range(0, len(x), 200_000):
         e = slice(s, s + 200_000)
         yield pa.RecordBatch.from_arrays(
@@ -172,8 +194,8 @@ def _grid(names, hour, value, n, src, first, length, a: int, b: int) -> Iterator
 def regularize(df: DataFrame, source: str = "id", date: str = "date", value: str = "value") -> DataFrame:
     """(source, hour_start, value, n_readings, status): one row for each source and clock hour from its first to its last reading.
 
-    ``status`` is 'observed' (value: mean of the hour's distinct readings), 'filled' (value imputed) or 'missing' (nothing known in the
-    hour's bucket; value null). Rows without source, date or value (null, NaN) are no readings; repeated readings (same source,
+    ``status`` is 'observed' (value: mean of the hour's distinct readings), 'filled' (value imputed), 'unsettled' (value imputed, but
+    only by mean day and straight lines, as the bucket's imputation doesn't settle) or 'missing' (nothing known in the hour's bucket; value null). Rows without source, date or value (null, NaN) are no readings; repeated readings (same source,
     date and value) count once; a source of one reading has one row; infinite values are left out like NaN. An empty table gives no
     rows; other columns are ignored.
     """
