@@ -333,7 +333,10 @@ def augment_hurst_exponent(data: DataFrame | Panel, date_column: str, close_colu
 
 
 def _hmm(x: np.ndarray, states: int, rounds: int, start: tuple | None):
-    """Gaussian hidden Markov model by Baum-Welch with scaling: (means, variances, transitions, first weights, smoothed states of the last value)."""
+    """Gaussian hidden Markov model by Baum-Welch with scaling: (means, variances, transitions, first weights, smoothed states of the values).
+
+    Forward and backward weights are products of one matrix a value, built for all values at once by doubling.
+    """
     n = len(x)
     if start is None:
         means = np.quantile(x, (np.arange(states) + 0.5) / states)
@@ -348,19 +351,24 @@ def _hmm(x: np.ndarray, states: int, rounds: int, start: tuple | None):
     smooth = np.full((n, states), 1 / states)
     for _ in range(rounds):
         emit = np.exp(-0.5 * (x[:, None] - means) ** 2 / var) / np.sqrt(2 * np.pi * var) + 1e-300
-        fwd, scale = np.empty((n, states)), np.empty(n)
-        f = first * emit[0]
-        scale[0] = f.sum()
-        fwd[0] = f / scale[0]
-        for t in range(1, n):
-            f = (fwd[t - 1] @ move) * emit[t]
-            scale[t] = f.sum()
-            fwd[t] = f / scale[t]
-        bwd = np.ones((n, states))
-        for t in range(n - 2, -1, -1):
-            bwd[t] = (move @ (emit[t + 1] * bwd[t + 1])) / scale[t + 1]
+        scale = np.empty(n)
+        scale[0] = (first * emit[0]).sum()
+        ahead = move * emit[1:, None]
+        ahead /= ahead.max((1, 2), keepdims=True)
+        after = ahead.copy()
+        d = 1
+        while d < n - 1:
+            ahead[d:] = ahead[:-d] @ ahead[d:]
+            after[:-d] = after[:-d] @ after[d:]
+            ahead /= ahead.max((1, 2), keepdims=True)
+            after /= after.max((1, 2), keepdims=True)
+            d *= 2
+        fwd = np.concatenate([(first * emit[0])[None], (first * emit[0]) @ ahead])
+        fwd /= fwd.sum(1, keepdims=True)
+        bwd = np.concatenate([after.sum(2), np.ones((1, states))])
+        bwd /= (fwd * bwd).sum(1, keepdims=True)
+        scale[1:] = (fwd[:-1] @ move * emit[1:]).sum(1)
         smooth = fwd * bwd
-        smooth /= smooth.sum(1, keepdims=True)
         pair = (fwd[:-1, :, None] * move * (emit[1:] * bwd[1:] / scale[1:, None])[:, None, :]).sum(0)
         like = np.log(scale).sum()
         weight = smooth.sum(0) + 1e-10
@@ -371,14 +379,15 @@ def _hmm(x: np.ndarray, states: int, rounds: int, start: tuple | None):
         if last is not None and abs(like - last) < 1e-4 * max(1, abs(last)):
             break
         last = like
-    return means, var, move, first, smooth[-1]
+    return means, var, move, first, smooth
 
 
 def augment_regime_detection(data: DataFrame | Panel, date_column: str, close_column: str, window=252, n_regimes: int = 2, step_size: int = 1, n_iter: int = 100,
                              by: Sequence[str] = (), order_by=None) -> DataFrame:
     """close_regime_w: state of the last log return in a Gaussian hidden Markov model refitted on each window, states numbered by rising mean.
 
-    A fit starts from the one before; with ``step_size`` the states in between repeat the last one. Windows need max(w // 2, 10 n_regimes) returns.
+    A fit starts from the one before; with ``step_size`` each fit gives the last ``step_size`` returns of its window their own states, and a last one those
+    left at the end. Windows need max(w // 2, 10 n_regimes) returns; a row without a return has no state.
     A series runs in one task, as each fit starts from the one before.
     """
     from pyspark.sql import types as T
@@ -394,16 +403,21 @@ def augment_regime_detection(data: DataFrame | Panel, date_column: str, close_co
         r = np.log(ratio.where(ratio > 0)).to_numpy()
         new = {}
         for w in ws:
-            out, model, state = [None] * len(r), None, None
+            out, model, done = [None] * len(r), None, -1
             least = max(w // 2, 10 * n_regimes)
             for i in range(len(r)):
-                x = r[max(0, i - w + 1) : i + 1]
-                x = x[~np.isnan(x)]
-                if len(x) >= least:
-                    if state is None or i % step_size == 0:
-                        *model, last = _hmm(x, n_regimes, n_iter, model)
-                        state = int(np.argsort(np.argsort(model[0]))[last.argmax()])
-                    out[i] = state
+                regular = (i - w + 1) % step_size == 0
+                if not regular and i < len(r) - 1:
+                    continue
+                at = np.arange(max(0, i - w + 1), i + 1)
+                at = at[~np.isnan(r[at])]
+                if len(at) >= least:
+                    *model, smooth = _hmm(r[at], n_regimes, n_iter, model)
+                    states = np.argsort(np.argsort(model[0]))[smooth.argmax(1)]
+                    fresh = np.arange(len(at)) >= len(at) - step_size if regular else at > done
+                    for k in np.flatnonzero(fresh):
+                        out[at[k]] = int(states[k])
+                    done = i
             new[f"{close_column}_regime_{w}"] = pd.array(out, dtype="Int32")
         return part.assign(**new)
 

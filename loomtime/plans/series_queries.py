@@ -417,7 +417,7 @@ def hurst_exponent(spark, folder):
 
 @query()
 def regime_detection(spark, folder):
-    return finance.augment_regime_detection(group(stocks(spark, folder), "symbol"), "date", "close", 60, 2, 20, 20)
+    return finance.augment_regime_detection(group(stocks(spark, folder), "symbol"), "date", "close", 60, 2)
 
 
 # ---- transforms, summaries, decomposition

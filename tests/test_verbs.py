@@ -252,6 +252,19 @@ def test_finance_groups_are_apart(spark, prices, name):
         np.testing.assert_allclose(whole[c].to_numpy(float), alone[c].to_numpy(float), rtol=1e-7, atol=1e-9)
 
 
+@pytest.mark.parametrize("step", [1, 20])
+def test_regimes_between_refits_are_decoded(spark, step):
+    rng = np.random.default_rng(15)
+    up = np.arange(250) // 7 % 2  # changes between refits
+    close = 100 * np.exp(np.cumsum(np.where(up, 0.03, -0.03) + rng.normal(0, 0.004, 250)))
+    close[120] = np.nan
+    pdf = pd.DataFrame({"date": pd.date_range("2023-01-01", periods=250), "close": close})
+    got = finance.augment_regime_detection(spark.createDataFrame(pdf), "date", "close", 60, 2, step).toPandas().sort_values("date").close_regime_60.to_numpy(float)
+    assert np.isnan(got[[120, 121]]).all()  # no return, no state
+    late = np.r_[60:120, 122:250]
+    assert (got[late] == up[late]).mean() > 0.97
+
+
 def test_finance_formulas(spark, prices):
     one = prices[prices.symbol == "A"].reset_index(drop=True)
     df = spark.createDataFrame(one).repartition(5)
