@@ -61,3 +61,39 @@ def running_total(df: DataFrame, key: str, amount: str, name: str, parts: int |
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(run)], names=[*b.schema.names, name])
 
     return ordered.mapInArrow(add, T.StructType([*ordered.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def group_medians(df: DataFrame, key: str, value: str) -> dict[str, tuple[float, int]]:
+    """(exact median, number of values) of each of a bounded number of groups; a group of any size, as it spreads over the sorted partitions."""
+    from pyspark import TaskContext
+
+    ordered = sorted_once(df.select(key, value), key, value)
+
+    def groups(batches):
+        part = whole_partition(batches)
+        if part is not None:
+            starts = runs_of(part[key])
+            yield part[key].take(pa.array(starts)).combine_chunks(), starts, np.r_[starts[1:], part.num_rows], part[value].to_numpy()
+
+    def count(batches):
+        for names, starts, ends, _ in groups(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * len(starts), pa.int32()), names, pa.array(ends - starts)], names=["pid", "key", "n"])
+
+    before, total = {}, {}
+    for pid, name, n in sorted(map(tuple, ordered.mapInArrow(count, "pid int, key string, n bigint").collect())):
+        before[pid, name] = total.get(name, 0)
+        total[name] = before[pid, name] + n
+
+    def pick(batches):
+        pid = TaskContext.get().partitionId()
+        for names, starts, ends, x in groups(batches):
+            for name, a, b in zip(names.to_pylist(), starts, ends):
+                n, at = total[name], before[pid, name]
+                got = [float(x[a + k - at]) for k in ((n - 1) // 2, n // 2) if at <= k < at + b - a]
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(got)), pa.array(got)], names=["key", "x"])
+
+    middle: dict[str, list[float]] = {}
+    for name, x in ordered.mapInArrow(pick, "key string, x double").collect():
+        middle.setdefault(name, []).append(x)
+    return {name: (sum(xs) / 2, total[name]) for name, xs in middle.items()}

@@ -2,7 +2,8 @@
 
 Readings are sorted once by (source, date); a hot source spreads over many partitions. Each partition gets up to ``HALO``
 readings of the sources that go on in its neighbours, so that no run and no level is cut at a border. Within a partition all
-sources are worked on at once:
+sources are worked on at once. Course, scales and scatter of a source cut by a border are exact medians over all its readings, in all partitions
+(``_Cut``); they are found first, one after the other:
 
 1. the daily course (median by hour of day of what a running median leaves) is taken off;
 2. an undecimated Haar wavelet decomposition over four scales gives detail coefficients; those beyond ``CANDIDATE`` times
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtime.operators.ranges import runs_of, sorted_once, whole_partition
+from loomtime.operators.ranges import group_medians, runs_of, sorted_once, whole_partition
 
 # Spellings of units (lower case, without blanks, dots and degree signs) and the bounds of what can be measured in them
 UNITS = {
@@ -78,19 +79,60 @@ def _running_median(y: np.ndarray, start: np.ndarray, size: np.ndarray, half: in
     return out
 
 
-def _course(y: np.ndarray, src: np.ndarray, start: np.ndarray, size: np.ndarray, hour: np.ndarray, sources: int) -> np.ndarray:
+class _Wanted(Exception):
+    """A median over readings of other partitions that isn't known yet."""
+
+
+class _Cut:
+    """What is known of the sources cut by a partition border. ``ids`` has their numbers here, ``own`` the readings that aren't a neighbour's,
+    ``known`` the medians by id, name and sub-group (-1: number of readings) over all partitions; ``asked`` takes the values of those not yet known."""
+
+    def __init__(self, ids: dict[int, str], own: np.ndarray, known: dict):
+        self.ids, self.own, self.known, self.asked = ids, own, known, {}
+
+    def of(self, keep: np.ndarray, numbers: np.ndarray) -> _Cut:
+        at = {int(k): i for i, k in enumerate(numbers)}
+        return _Cut({at[k]: name for k, name in self.ids.items() if k in at}, self.own[keep], self.known)
+
+    def medians(self, name: str, values: np.ndarray, src: np.ndarray, sources: int, rows=slice(None), sub=0, subs: int = 1, only=None) -> np.ndarray:
+        """Median of each source (``only``: those that need it) and sub-group: over what is here, for a cut source over all its readings."""
+        out = _medians(values, src * subs + sub, sources * subs)
+        for k, id in self.ids.items():
+            if only is not None and not only[k]:
+                continue
+            if name in self.known.get(id, {}):
+                found = self.known[id][name]
+                out[k * subs : (k + 1) * subs] = [found.get(i, np.nan) for i in range(subs)]
+            else:
+                mine = (src == k) & self.own[rows]
+                self.asked[name] = (np.broadcast_to(sub, src.shape)[mine], values[mine])
+        return out
+
+    def sizes(self, name: str, src: np.ndarray) -> np.ndarray:
+        out = np.bincount(src)
+        for k, id in self.ids.items():
+            out[k] = self.known[id][name][-1]
+        return out
+
+    def ready(self) -> None:
+        if self.asked:
+            raise _Wanted
+
+
+def _course(y: np.ndarray, src: np.ndarray, start: np.ndarray, size: np.ndarray, hour: np.ndarray, sources: int, cut: _Cut, chain: str, readings: np.ndarray) -> np.ndarray:
     """Daily course of each reading's source; 0 where a source has too few readings for one."""
     left = y - _running_median(y, start, size, 12)
-    table = np.nan_to_num(_medians(left, src * 24 + hour.astype(np.int64), sources * 24)).reshape(sources, 24)
+    table = np.nan_to_num(cut.medians(chain + "course", left, src, sources, sub=hour.astype(np.int64), subs=24)).reshape(sources, 24)
+    cut.ready()
     table = (np.roll(table, 1, 1) + 2 * table + np.roll(table, -1, 1)) / 4
-    table[np.bincount(src, minlength=sources) < 72] = 0
+    table[readings < 72] = 0
     at = hour - 0.5
     low = np.floor(at).astype(np.int64)
     part = at - low
     return table[src, low % 24] * (1 - part) + table[src, (low + 1) % 24] * part
 
 
-def _candidates(y: np.ndarray, src: np.ndarray, start: np.ndarray, size: np.ndarray, sources: int) -> np.ndarray:
+def _candidates(y: np.ndarray, src: np.ndarray, start: np.ndarray, size: np.ndarray, sources: int, cut: _Cut, chain: str, readings: np.ndarray) -> np.ndarray:
     """Readings under a Haar detail coefficient far beyond its source's robust scale."""
     n = len(y)
     total = np.r_[0, np.cumsum(y)]
@@ -100,11 +142,12 @@ def _candidates(y: np.ndarray, src: np.ndarray, start: np.ndarray, size: np.ndar
         ok = (at - start >= w) & (start + size - at >= w)
         i = at[ok]
         detail = np.abs((total[i + w] - total[i]) - (total[i] - total[i - w])) / w
-        scale = 1.4826 * _medians(detail, src[i], sources)[src[i]]
+        scale = 1.4826 * cut.medians(f"{chain}haar{w}", detail, src[i], sources, i)[src[i]]
         hit = i[detail > CANDIDATE * scale]
         np.add.at(marks, hit - w, 1)
         np.add.at(marks, hit + w, -1)
-    return (np.cumsum(marks[:-1]) > 0) | (size < 2 * SCALES[-1])
+    cut.ready()
+    return (np.cumsum(marks[:-1]) > 0) | (readings[src] < 2 * SCALES[-1])
 
 
 def _stuck(v: np.ndarray, src: np.ndarray, least: int) -> np.ndarray:
@@ -113,48 +156,68 @@ def _stuck(v: np.ndarray, src: np.ndarray, least: int) -> np.ndarray:
     return np.bincount(run, minlength=1)[run] >= least
 
 
-def _spikes(src: np.ndarray, t: np.ndarray, v: np.ndarray, quiet: np.ndarray, limit: float):
+def _spikes(src: np.ndarray, t: np.ndarray, v: np.ndarray, quiet: np.ndarray, limit: float, cut: _Cut, chain: str):
     """(spike, expected, scatter); readings under ``quiet`` say nothing about the scatter."""
     size_of = np.bincount(src)
     sources = len(size_of)
     start = np.r_[0, np.cumsum(size_of)[:-1]][src]
     size = size_of[src]
-    centre = _medians(v, src, sources)[src]
+    centre = cut.medians(chain + "centre", v, src, sources)[src]
+    cut.ready()
+    readings = cut.sizes(chain + "centre", src)
     with np.errstate(invalid="ignore", over="ignore"):
         y = np.where(np.isfinite(v), v - centre, 0)
-        course = _course(y, src, start, size, (t % 86_400_000_000) / 3.6e9, sources)
+        course = _course(y, src, start, size, (t % 86_400_000_000) / 3.6e9, sources, cut, chain, readings)
         y = y - course
-        candidate = _candidates(y, src, start, size, sources)
+        candidate = _candidates(y, src, start, size, sources, cut, chain, readings)
         calm, spike = y, np.zeros(len(y), bool)
-        for _ in range(2):  # the second time without the first time's spikes
+        for turn in "12":  # the second time without the first time's spikes
             level = _running_median(calm, start, size, NEAR)
             off = np.abs(y - level)
             use = ~quiet & ~spike
-            scatter = 1.4826 * _medians(off[use], src[use], sources)
+            scatter = 1.4826 * cut.medians(f"{chain}scatter{turn}", off[use], src[use], sources, use)
+            cut.ready()
             none = ~(scatter > 0)
             if none.any():
                 use &= none[src] & (off > 0)
-                scatter = np.where(none, 1.4826 * _medians(off[use], src[use], sources), scatter)
+                scatter = np.where(none, 1.4826 * cut.medians(f"{chain}moving{turn}", off[use], src[use], sources, use, only=none), scatter)
+                cut.ready()
             scatter = scatter[src]
-            spike = candidate & (off >= limit * scatter) & (size >= 8)
+            spike = candidate & (off >= limit * scatter) & (readings[src] >= 8)
             calm = np.where(spike, level, y)
     return spike | ~np.isfinite(v), centre + course + level, scatter
 
 
-def judge(src: np.ndarray, t: np.ndarray, v: np.ndarray, limit: float, stuck_run: int):
+def judge(src: np.ndarray, t: np.ndarray, v: np.ndarray, limit: float, stuck_run: int, cut: _Cut | None = None):
     """Distinct readings sorted by (source number, time): (stuck, spike, expected, scatter). What a stuck stretch leaves beside itself is a
     spike only if it is one without that stretch, too."""
+    cut = cut or _Cut({}, np.ones(len(v), bool), {})
     stuck = _stuck(v, src, stuck_run)
-    spike, expected, scatter = _spikes(src, t, v, stuck, limit)
+    spike, expected, scatter = _spikes(src, t, v, stuck, limit, cut, "")
     free = ~stuck
-    if stuck.any() and free.any():
+    if (stuck.any() or cut.ids) and free.any():  # a cut source may be stuck elsewhere
         kept, own = np.unique(src[free], return_inverse=True)
-        again, _, _ = _spikes(own, t[free], v[free], np.zeros(len(own), bool), limit)
-        small = np.bincount(own)[own] < 24
+        cut = cut.of(free, kept)
+        again, _, _ = _spikes(own, t[free], v[free], np.zeros(len(own), bool), limit, cut, "free ")
+        small = cut.sizes("free centre", own)[own] < 24
         spike[free] &= again | small
     return stuck, spike, expected, scatter
 
 
+def _asked(id: str, t: np.ndarray, v: np.ndarray, own: np.ndarray, limit: float, stuck_run: int, known: dict) -> dict:
+    """Values of the next medians of a cut source that aren't known yet, by name: (sub-groups, values)."""
+    src, free = np.zeros(len(v), np.int64), ~_stuck(v, np.zeros(len(v), np.int64), stuck_run)
+    out: dict = {}
+    for chain, keep, quiet in (("", np.ones(len(v), bool), ~free), ("free ", free, np.zeros(free.sum(), bool))):
+        if keep.any():
+            cut = _Cut({0: id}, own[keep], known)
+            try:
+                _spikes(src[keep], t[keep], v[keep], quiet, limit, cut, chain)
+            except _Wanted:
+                out |= cut.asked
+    return out
+
+
 def _table(part: pa.Table):
     starts = runs_of(part["id"])
     src = np.zeros(part.num_rows, np.int64)
@@ -209,6 +272,49 @@ def flag_implausible(df: DataFrame, row: str = "row_no", source: str = "id", dat
                 around.setdefault(a, {})["after"] = (head.t.to_numpy(), head.v.to_numpy(), head.u.to_numpy())
     sent = spark.sparkContext.broadcast(around)
 
+    def joined(t, v, u, beside):
+        """Readings of a partition between those of its neighbours: (times, values, units, rows before)."""
+        none = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int32))
+        (bt, bv, bu), (at, av, au) = beside.get("before", none), beside.get("after", none)
+        return np.r_[bt, t, at], np.r_[bv, v, av], np.r_[bu, u, au].astype(np.int64), len(bt)
+
+    def borders(starts, ids, beside) -> dict[int, str]:
+        picked = ([0] if "before" in beside else []) + ([len(starts) - 1] if "after" in beside else [])
+        return {k: ids[int(starts[k])].as_py() for k in picked}
+
+    def values_asked(known: dict):
+        """(id, name, sub-group) as one text, and a value: what cut sources' next medians are taken over; a row of sub-group -1 says that the name was asked for."""
+
+        def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            beside = sent.value.get(TaskContext.get().partitionId(), {})
+            part = whole_partition(batches) if beside else None
+            if part is None:
+                return
+            starts, src, t, v, unit, fresh = _table(part)
+            for k, id in borders(starts, part["id"], beside).items():
+                mine = fresh & (src == k)
+                here = {side: x for side, x in beside.items() if (side == "before" and k == 0) or (side == "after" and k == len(starts) - 1)}
+                jt, jv, _, before = joined(t[mine], v[mine], unit[mine], here)
+                own = np.zeros(len(jt), bool)
+                own[before : before + mine.sum()] = True
+                for name, (sub, values) in _asked(id, jt, jv, own, limit, stuck_run, known).items():
+                    keys = pa.array([f"{name}\0{i}\0{id}" for i in range(-1, 24)])
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.r_[0, sub + 1])), pa.array(np.r_[0.0, values])], names=["key", "x"])
+
+        return ask
+
+    known: dict[str, dict[str, dict[int, float]]] = {}
+    while around:  # centre, course, Haar scales, scatter twice; a source's medians of one step rest on those before
+        found = group_medians(ordered.mapInArrow(values_asked(known), "key string, x double"), "key", "x")  # a bounded number a partition border
+        for key, (mid, n) in found.items():
+            name, sub, id = key.split("\0", 2)
+            facts = known.setdefault(id, {}).setdefault(name, {-1: 0})
+            if sub != "-1":
+                facts[int(sub)] = mid
+                facts[-1] += n
+        if not found:
+            break
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = whole_partition(batches)
         if part is None:
@@ -217,14 +323,15 @@ def flag_implausible(df: DataFrame, row: str = "row_no", source: str = "id", dat
         group = np.cumsum(fresh) - 1
         us, ut, uv, uu = src[fresh], t[fresh], v[fresh], unit[fresh]
         beside = sent.value.get(TaskContext.get().partitionId(), {})
-        none = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int32))
-        (bt, bv, bu), (at, av, au) = beside.get("before", none), beside.get("after", none)
-        js = np.r_[np.zeros(len(bt), np.int64), us, np.full(len(at), us[-1])]
-        ju = np.r_[bu, uu, au].astype(np.int64)
-        stuck, spike, expected, scatter = (x[len(bt) : len(bt) + len(us)] for x in judge(js, np.r_[bt, ut, at], np.r_[bv, uv, av], limit, stuck_run))
+        jt, jv, ju, before = joined(ut, uv, uu, beside)
+        js = np.r_[np.zeros(before, np.int64), us, np.full(len(jt) - before - len(us), us[-1])]
+        own = np.zeros(len(jt), bool)
+        own[before : before + len(us)] = True
+        cut = _Cut(borders(starts, part["id"], beside), own, known)
+        stuck, spike, expected, scatter = (x[own] for x in judge(js, jt, jv, limit, stuck_run, cut))
         votes = np.bincount(js[ju >= 0] * len(CODES) + ju[ju >= 0], minlength=(us[-1] + 1) * len(CODES)).reshape(-1, len(CODES))
-        own = np.where(votes.any(1), votes.argmax(1), -1)[us]
-        impossible = (uv < _LOW[own]) | (uv > _HIGH[own])
+        meant = np.where(votes.any(1), votes.argmax(1), -1)[us]
+        impossible = (uv < _LOW[meant]) | (uv > _HIGH[meant])
         yield pa.RecordBatch.from_arrays(
             [part["row"].combine_chunks(), *(pa.array(x[group]) for x in (impossible, stuck, spike, expected, scatter))],
             names=["row", "impossible", "stuck", "spike", "expected", "scatter"])

@@ -174,6 +174,25 @@ def test_flags_planted_cases(spark):
     assert set(out[out.impossible].row_no) == {700, len(pdf) - 1}
 
 
+def test_scatter_and_spikes_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(16)
+    a = sensor(rng, "a", "kWh", 2400, 200, 20, 1.0)
+    a["value"] += rng.normal(0, 1, len(a)) * np.where(np.arange(len(a)) < 1500, 0, 5)  # noisier later on
+    a.loc[[70, 900, 1800, 2200], "value"] += [40, 45, 60, 50]
+    a.loc[300:311, "value"] = 207.5
+    pdf = pd.concat([a, sensor(rng, "b", "%", 400, 50, 2, 0.5)], ignore_index=True)
+    pdf["row_no"] = np.arange(len(pdf))
+    got = []
+    for parts in ("1", "6"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got.append(spikes.flag_implausible(spark.createDataFrame(pdf)).toPandas().sort_values("row_no").reset_index(drop=True))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    np.testing.assert_allclose(got[0].scatter, got[1].scatter, rtol=1e-9)
+    np.testing.assert_allclose(got[0].expected, got[1].expected, rtol=1e-9)
+    for flag in ("impossible", "stuck", "spike"):
+        assert (got[0][flag] == got[1][flag]).all()
+
+
 def test_stuck_runs_by_brute_force(spark):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"id": rng.choice(["a", "b"], 800), "date": T0 + pd.to_timedelta(rng.permutation(800) * 60, "s"), "value": rng.integers(0, 2, 800).astype(float), "unit": "count"})
