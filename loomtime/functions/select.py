@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtime.functions.freq import add_duration
-from loomtime.runtime import is_temporal
+from loomtime.runtime import is_temporal, without_nan
 
 
 @dataclass(frozen=True)
@@ -103,7 +103,8 @@ def resolve_column_selection(data: DataFrame | Panel, selectors, *, allow_none:
 
 def filter_by_time(data: DataFrame | Panel, date_column: str, start_date: str = "start", end_date: str = "end") -> DataFrame:
     """Rows from ``start_date`` to ``end_date``, both included. 'start' and 'end' keep all dates that side. An end of 4, 7, 10, 13 or 16 characters
-    stands for the end of its day, hour or minute, one of 4 or 7 for midnight of the last day of its year or month. Rows without date are left out."""
+    stands for the end of its day, hour or minute, one of 4 or 7 for midnight of the last day of its year or month. Rows without date are left out;
+    NaN comes out as null, as in every verb."""
     df, _ = unpack(data)
     check_date(df, date_column)
     d = F.col(date_column)
@@ -121,7 +122,7 @@ def filter_by_time(data: DataFrame | Panel, date_column: str, start_date: str =
         elif len(s) in (10, 13, 16):
             t = F.timestamp_micros(F.unix_micros(add_duration(t, {10: "1 day", 13: "1 hour", 16: "1 minute"}[len(s)])) - 1_000_000)
         keep &= d <= t
-    return df.where(keep)
+    return without_nan(df.where(keep))
 
 
 def drop_zero_variance(data: DataFrame) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -268,16 +269,16 @@ def acf_diagnostics(data: DataFrame | Panel, date_column: str, value_column: str
     return grouped(df, keys).applyInPandas(each, schema)
 
 
-# Seasonal features, the calendar features they show, their lengths in seconds, and the features for a median step below a bound
+# Seasonal features, the calendar features they show, the lengths of their units in seconds, and the features for a median step below a bound
 FEATURES = {"second": "second", "minute": "minute", "hour": "hour", "wday.lbl": "wday_lbl", "week": "yweek", "month.lbl": "month_lbl", "quarter": "quarter", "year": "year"}
-LENGTHS = {"second": 60, "minute": 3600, "hour": 86400, "wday.lbl": 604800, "week": 31536000, "month.lbl": 31536000, "quarter": 31536000, "year": 31536000}
+LENGTHS = {"second": 1, "minute": 60, "hour": 3600, "wday.lbl": 86400, "week": 604800, "month.lbl": 2629800, "quarter": 7889400, "year": 31557600}
 BANDS = ((60, ("second", "minute", "hour", "wday.lbl", "week", "month.lbl")), (3600, ("minute", "hour", "wday.lbl", "week", "month.lbl")),
          (86400, ("hour", "wday.lbl", "week", "month.lbl", "quarter", "year")), (604800, ("wday.lbl", "week", "month.lbl", "quarter", "year")), (2678400, ("week", "month.lbl", "quarter", "year")))
 
 
 def seasonal_diagnostics(data: DataFrame | Panel, date_column: str, value_column: str, feature_set="auto", by: Sequence[str] = ()) -> DataFrame:
     """(groups, date, value, seasonal_feature, seasonal_value): each row once for each seasonal feature. 'auto' takes the features that suit any series'
-    median step and span two of their periods."""
+    median step and span two of their units; a series with none, or of fewer than three dates, counts for 'year'."""
     df, keys = unpack(data, by)
     check_date(df, date_column)
     check_values(df, [value_column])
@@ -293,8 +294,10 @@ def seasonal_diagnostics(data: DataFrame | Panel, date_column: str, value_column
         for i, feats in enumerate([*[f for _, f in BANDS], ("month.lbl", "quarter", "year")]):
             here = (F.col("n") >= 3) & (F.col("m") >= edges[i]) & (F.col("m") < edges[i + 1])
             tests += [(f, here & (F.col("span") >= 2 * LENGTHS[f])) for f in feats]
-        seen = series.agg(*[F.coalesce(F.bool_or(t), F.lit(False)).alias(f"t{i}") for i, (_, t) in enumerate(tests)]).first()
-        auto = {f for i, (f, _) in enumerate(tests) if seen[i]}
+        held = [F.coalesce(t, F.lit(False)) for _, t in tests]
+        none = ~reduce(Column.__or__, held)
+        seen = series.agg(*[F.coalesce(F.bool_or(t), F.lit(False)).alias(f"t{i}") for i, t in enumerate([*held, none])]).first()
+        auto = {f for i, f in enumerate([*[f for f, _ in tests], "year"]) if seen[i]}
         chosen = [f for f in FEATURES if f in auto] or ["year"]
     for n in names:
         if n != "auto":

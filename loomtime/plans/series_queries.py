@@ -154,7 +154,7 @@ def date_functions(spark, folder):
                                                       week_of_month("ts").alias("week_of_month"))
 
 
-@query("SELECT * FROM m4_daily WHERE date >= TIMESTAMP '2022-03-01' AND date <= TIMESTAMP '2022-11-30'")
+@query("SELECT * REPLACE (CASE WHEN NOT isnan(value) THEN value END AS value) FROM m4_daily WHERE date >= TIMESTAMP '2022-03-01' AND date <= TIMESTAMP '2022-11-30'")
 def filter_by_time_months(spark, folder):
     return filter_by_time(read_table(spark, folder, "m4_daily"), "date", "2022-03", "2022-11")
 
@@ -511,6 +511,19 @@ def seasonal_diagnostics(spark, folder):
     return decompose.seasonal_diagnostics(group(read_table(spark, folder, "events"), "event_type"), "ts", "value", ["hour", "wday.lbl"])
 
 
+_AUTO = """WITH d AS (SELECT event_type, epoch(ts) AS s, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY event_type ORDER BY ts) AS step FROM events WHERE ts IS NOT NULL),
+g AS (SELECT event_type, median(step) AS m, max(s) - min(s) AS span, count(*) AS n FROM d GROUP BY event_type),
+f(k, unit, low, high) AS (VALUES ('second', 1, 0, 60), ('minute', 60, 0, 3600), ('hour', 3600, 0, 86400), ('wday.lbl', 86400, 0, 604800), ('week', 604800, 0, 2678400), ('month.lbl', 2629800, 0, 1e18), ('quarter', 7889400, 3600, 1e18), ('year', 31557600, 3600, 1e18)),
+u AS (SELECT event_type, k FROM g LEFT JOIN f ON n >= 3 AND m >= low AND m < high AND span >= 2 * unit), c AS (SELECT DISTINCT coalesce(k, 'year') AS k FROM u)
+SELECT event_type, ts, value, c.k AS seasonal_feature, CASE c.k WHEN 'second' THEN CAST(CAST(floor(second(ts)) AS INTEGER) AS VARCHAR) WHEN 'minute' THEN CAST(minute(ts) AS VARCHAR) WHEN 'hour' THEN CAST(hour(ts) AS VARCHAR) WHEN 'wday.lbl' THEN dayname(ts)
+WHEN 'week' THEN CAST(weekofyear(ts) AS VARCHAR) WHEN 'month.lbl' THEN monthname(ts) WHEN 'quarter' THEN CAST(quarter(ts) AS VARCHAR) ELSE CAST(year(ts) AS VARCHAR) END AS seasonal_value FROM events, c"""
+
+
+@query(_AUTO)
+def seasonal_diagnostics_auto(spark, folder):
+    return decompose.seasonal_diagnostics(group(read_table(spark, folder, "events"), "event_type"), "ts", "value")
+
+
 @query(f"""WITH {DAILY}, m AS (SELECT *, value <= median(value) OVER (PARTITION BY id) AS above FROM daily), c AS (SELECT *, above <> lag(above) {_W} AS moved FROM m)
 SELECT id, count(*)::DOUBLE AS series_length, coalesce(sum(CAST(moved AS INTEGER)), 0)::DOUBLE AS crossing_points FROM c GROUP BY id""")
 def ts_features_counts(spark, folder):

@@ -67,6 +67,12 @@ def numeric(df: DataFrame, name: str):
     return nan_to_null(F.col(name).cast("double"))
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """``df`` with NaN read as null in its floating columns."""
+    floating = [f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    return df.withColumns({c: nan_to_null(F.col(f"`{c}`")) for c in floating}) if floating else df
+
+
 def is_temporal(kind: T.DataType) -> bool:
     return isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
 

@@ -6,6 +6,8 @@ from pathlib import Path
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as entry  # noqa: E402
@@ -38,8 +40,10 @@ def normal(df: pd.DataFrame) -> list:
 
 def compare(spark, db, name: str, folder: str) -> str:
     t = time.time()
-    got = entry.queries()[name](spark, folder).toPandas()
+    table = entry.queries()[name](spark, folder).toArrow()
     took = time.time() - t
+    got = table.to_pandas()
+    nan = [c for c in table.column_names if pa.types.is_floating(table[c].type) and pc.any(pc.is_nan(table[c])).as_py()]
     sql = entry.oracle_sql().get(name)
     if sql is None:
         return f"{name}: {len(got)} rows, {took:.1f} s, no SQL"
@@ -48,6 +52,8 @@ def compare(spark, db, name: str, folder: str) -> str:
         return f"{name}: COLUMNS DIFFER {sorted(got.columns)} {sorted(want.columns)}"
     kinds = {c: (str(got[c].dtype), str(want[c].dtype)) for c in got if str(got[c].dtype).split('[')[0] != str(want[c].dtype).split('[')[0]}
     g, w = normal(got), normal(want)
+    if nan:
+        return f"{name}: NaN IN {nan}, which equals nothing"
     if g != w:
         only = [x for x in g if x not in set(w)][:3], [x for x in w if x not in set(g)][:3]
         return f"{name}: VALUES DIFFER {len(g)} {len(w)} {only} {sorted(got.columns)}"

@@ -359,7 +359,22 @@ def test_acf(spark):
     m = np.array([[a["ACF", abs(i - j)] for j in range(3)] for i in range(3)])
     assert a["PACF", 3] == pytest.approx(np.linalg.solve(m, [a["ACF", 1], a["ACF", 2], a["ACF", 3]])[-1])
     assert set(out.metric) == {"ACF", "PACF", "CCF_driver"}
-    assert decompose.seasonal_diagnostics(group(spark.createDataFrame(pdf), "id"), "date", "value").count() > 0
+
+
+def test_seasonal_features_by_step_and_span(spark):
+    hours, short = pd.date_range("2020-01-01", periods=24, freq="h"), days("2020-01-01", 24)
+    two = lambda a, b: frame(spark, {"id": ["A"] * 24 + ["B"] * 24, "date": [*a, *b], "value": np.arange(48.0)})
+    of = lambda df: {r[0] for r in df.select("seasonal_feature").distinct().collect()}
+    hourly = frame(spark, {"date": hours, "value": np.arange(24.0)})
+    assert of(decompose.seasonal_diagnostics(hourly, "date", "value")) == {"hour"}
+    assert of(decompose.seasonal_diagnostics(hourly, "date", "value", ["hour", "wday.lbl"])) == {"hour", "wday.lbl"}
+    assert of(decompose.seasonal_diagnostics(group(two(hours, short), "id"), "date", "value")) == {"hour", "wday.lbl", "week"}
+    assert of(decompose.seasonal_diagnostics(hourly.limit(2), "date", "value")) == {"year"}
+
+
+def test_filter_by_time_has_no_nan(spark):
+    df = spark.createDataFrame([("2022-03-01", float("nan")), ("2022-03-02", 1.0)], "d string, v double").select(F.to_timestamp("d").alias("date"), "v")
+    assert filter_by_time(df, "date", "2022").orderBy("date").toArrow()["v"].to_pylist() == [None, 1.0]
 
 
 def test_funnel(spark):
