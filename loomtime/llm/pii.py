@@ -42,11 +42,11 @@ STREETS_ES = "Calle|C/|Avenida|Avda\\.|Av\\.|Paseo|Plaza|Camino|Ronda|Carrera|Tr
 STREETS_DE = "straße|strasse|str\\.|gasse|weg|allee|platz|ring|damm|ufer|graben|steig|pfad|hof|chaussee|promenade|kai|markt|wall"
 LEADS_DE = "Am|An der|An den|Im|In der|Zum|Zur|Auf dem|Auf der|Hinter der|Hinter dem|Unter den|Beim|Obere[rns]?|Untere[rns]?|Alte[rns]?|Neue[rns]?|Große[rns]?|Kleine[rns]?"
 CUES = {
-    "phone": "phone call text tel telephone mobile cell fax dial reachable ring whatsapp desk handy telefon mobil rufnummer anrufen teléfono telefono móvil llamar téléphone portable appeler sms voicemail",
-    "id": "ssn passport ausweisnummer ausweis personalausweis nino ssn= steuer steuer-id steuernummer dni nie nif nir tax insurance identity national id social security sozialversicherungsnummer passnummer reisepass pasaporte passeport license licence tin",
-    "address": "address adresse dirección live lives living resides wohnt vive habite shipment bounced delivered return deliver anschrift büro office domicilio everything sends box parcel moved street ship_to ship unit strasse straße",
-    "name": "author by from to cc thanks thank reported ask contact merci cliente customer client bitte mit von an für à row belonged shipment for signed-off-by reviewed-by acked-by tested-by co-authored-by co-developed-by suggested-by helped-by dear herr frau señor señora mr mrs ms dr",
-    "count": "order article item took run epoch build rows version took port host seed hash pid bytes ns ms qa rfc ticket issue release isbn sku batch seen id: between revision commit serial follow-up revert index broke sha part catalog timestamp grew",
+    "phone": "phone call text tel telephone tél mobile cell fax dial ring reach hotline number contact whatsapp sms handy telefon mobil rufnummer anrufen teléfono telefono móvil llamar téléphone portable appeler",
+    "id": "ssn passport ausweis ausweisnummer personalausweis identity identitätsnummer nino dni nie nif tax steuer steuer-id steuernummer national insurance social security sécurité sociale sozialversicherungsnummer reisepass pasaporte passeport carte license licence",
+    "address": "address adresse dirección live lives living resides residence home office wohnt wohnhaft anschrift büro lieferung vive habite demeurant domicilio deliver delivery delivered ship shipping moved street strasse straße calle",
+    "name": "author by from to cc thanks contact ask name customer patient tenant maintainer signed-off-by reviewed-by acked-by tested-by reported-by suggested-by helped-by co-authored-by co-developed-by dear herr frau señor señora mr mrs ms dr m mme merci à bitte von an für gracias",
+    "count": "order invoice article item took run job epoch build rows version port host seed hash pid bytes ns ms time rfc ticket issue release isbn sku batch id commit revision revert reverts index serial part count total limit timestamp session checksum sha",
 }
 CUE_OF: dict[str, tuple[str, ...]] = {}
 for _kind, _words in CUES.items():
@@ -136,7 +136,11 @@ def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, tuple]]
         if 0 < at < n - 1 and (text[at - 1].isalnum() or text[at - 1] in "_.+-") and text[at + 1].isalnum():
             left, right = LOCAL_PART.search(text, max(0, at - 64), at), DOMAIN.match(text, at + 1, at + 100)
             if left and right:
-                found[left.start(), right.end(), "email"] = ("@",)
+                begin = left.start()
+                while begin < at and text[begin] in "+-" and _marked(text, begin + 1):
+                    begin += 1
+                if begin < at:
+                    found[begin, right.end(), "email"] = ("@",)
         at = text.find("@", at + 1)
     names: set[int] = set()
     streets: list[tuple[int, int]] = []  # where an address with its street first can lie
@@ -157,24 +161,22 @@ def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, tuple]]
     if names:
         _name_candidates(text, names, lexicon, found)
     for m in NUMBER.finditer(text):
-        a, b = m.span()
-        if b - a <= LONGEST:
-            digits = sum(map(str.isdigit, m.group()))
-            if digits <= 15 and not (b < n and (text[b].isalnum() or text[b] == "_")) and not (a and (text[a - 1].isalnum() or text[a - 1] in "_+")):
-                body = m.group()
-                groups = "-".join(str(len(g)) for g in _PARTS.findall(body))
-                marks = "".join(sorted(set(c for c in body if not c.isdigit())))
-                facts = (groups, "+" if body[0] == "+" else "0" if body[0] == "0" else body[0] if body[0] == "(" else "n", marks, digits)
-                found[a, b, "phone"] = facts
-                if digits >= 8:
-                    found[a, b, "id_number"] = facts
+        for a, b in _number_spans(text, *m.span()):
+            body = text[a:b]
+            groups = "-".join(str(len(g)) for g in _PARTS.findall(body))
+            marks = "".join(sorted(set(c for c in body if not c.isdigit())))
+            digits = sum(map(str.isdigit, body))
+            facts = (groups, "+" if body[0] == "+" else "0" if body[0] == "0" else body[0] if body[0] == "(" else "n", marks, digits)
+            found[a, b, "phone"] = facts
+            if digits >= 8:
+                found[a, b, "id_number"] = facts
     for m in DOCUMENT_NO.finditer(text):
         body = m.group()
         found[m.start(), m.end(), "id_number"] = (re.sub(r"[A-Z]", "A", re.sub(r"\d+", lambda g: str(len(g.group())), body)), "a", "", sum(map(str.isdigit, body)))
     for spans, rx, how in ([(0, n)], STREET_NUMBER_FIRST, "first"), (streets, STREET_NAME_FIRST, "last"):
         for m in (m for a, b in spans for m in rx.finditer(text, a, b)):
             a, b = m.span()
-            if b - a > LONGEST or (a and (text[a - 1].isalnum() or text[a - 1] in "_.,/:#-+" and how == "first" or text[a - 1] == "_")) or (b < n and (text[b].isalnum() or text[b] == "_")):
+            if b - a > LONGEST or (a and (text[a - 1].isalnum() or text[a - 1] in "_.,/:#-+" and how == "first" or text[a - 1] == "_") and not _marked(text, a)) or (b < n and (text[b].isalnum() or text[b] == "_")):
                 continue
             found[a, b, "address"] = (how,)
             longer = LONG_STREET.match(text, a) if how == "first" else None
@@ -196,6 +198,28 @@ def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, tuple]]
     return sorted(((a, b, k, f) for (a, b, k), f in found.items()), key=lambda c: (c[1], c[0], c[2]))
 
 
+def _marked(text: str, a: int) -> bool:
+    """Whether only the mark of an added or removed line stands between a position and the start of its line."""
+    return a > 0 and text[a - 1] in "+-" and (a == 1 or text[a - 2] == "\n")
+
+
+def _number_spans(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """Spans of 7 to 15 digits a run of digits and separators can be read as: the whole, and what is left of it when it is cut at blanks, from either
+    side. Nothing may continue a span as a word, and a bracket that is closed outside isn't part of it."""
+    out = []
+    cuts = [(c.start() + a, c.end() + a) for c in _BLANKS.finditer(text[a:b])]
+    for x, y in [(a, b), *((a, c) for c, _ in cuts), *((c, b) for _, c in cuts)]:
+        if text[x] == "(" and ")" not in text[x:y]:
+            x += 1
+        if y - x > LONGEST or not 7 <= sum(map(str.isdigit, text[x:y])) <= 15 or not (text[y - 1].isdigit() and (text[x].isdigit() or text[x] in "+(")):
+            continue
+        if (y < len(text) and (text[y].isalnum() or text[y] == "_")) or (x and (text[x - 1].isalnum() or text[x - 1] in "_+")):
+            continue
+        out.append((x, y))
+    return out
+
+
+_BLANKS = re.compile(r"[ \t\r\n]+")
 _JOIN = re.compile(rf"{GAP}\Z")
 _INITIAL = re.compile(rf"\.{GAP}?\Z")
 _COMMA = re.compile(rf",{GAP}\Z")
@@ -215,7 +239,7 @@ def _name_candidates(text: str, hits: set[int], lexicon: Lexicon, found: dict) -
                 s, e = words[i][0], words[j][1]
                 if e - s > LONGEST or (s, e, "name") in found:
                     continue
-                if s and (text[s - 1].isalnum() or text[s - 1] in "_@/.-+#"):
+                if s and (text[s - 1].isalnum() or text[s - 1] in "_@/.-+#") and not _marked(text, s):
                     continue
                 if e < len(text) and (text[e].isalnum() or text[e] in "_@/+" or (text[e] in ".-" and e + 1 < len(text) and text[e + 1].isalnum())):
                     continue
@@ -346,17 +370,13 @@ class Field:
         top: list[tuple[float, int]] = []  # best path ending at or before each candidate
         get = self.weights.get
         for i, c in enumerate(found):
-            s = self.score(features(text, c))
-            before = bisect_right(ends, c[0], 0, i)
-            value, link = (top[before - 1] if before else (0.0, -1))
-            value = max(value, 0.0) if link < 0 else value
-            j = before - 1
-            while j >= 0 and c[0] - ends[j] <= NEAR:
+            far = bisect_right(ends, c[0] - NEAR - 1, 0, i)  # without transition
+            value, link = top[far - 1] if far else (0.0, -1)
+            for j in range(far, bisect_right(ends, c[0], far, i)):
                 v = best[j] + get(f"{found[j][2]}>{c[2]}", 0.0)
                 if v > value:
                     value, link = v, j
-                j -= 1
-            best.append(s + value)
+            best.append(self.score(features(text, c)) + value)
             back.append(link)
             last = top[-1] if top else (0.0, -1)
             top.append((best[i], i) if best[i] > last[0] else last)
@@ -367,7 +387,7 @@ class Field:
             i = back[i]
         return out[::-1]
 
-    def fit(self, examples: list[tuple[str, set]], lexicon: Lexicon, rounds: int = 6, rate: float = 0.3, decay: float = 1e-4) -> Field:
+    def fit(self, examples: list[tuple[str, set]], lexicon: Lexicon, rounds: int = 8, rate: float = 0.3, decay: float = 1e-4) -> Field:
         """AdaGrad on the conditional log likelihood; examples are (text, true (start, end, kind) segments)."""
         prepared = []
         for text, gold in examples:
@@ -432,14 +452,7 @@ class Field:
         return single, pairs
 
 
-def phone_border(text: str, a: int, b: int, kind: str) -> tuple[int, int]:
-    """A number ends with its last digit and doesn't begin with an opening bracket that is closed outside."""
-    if kind == "phone" and text[a] == "(" and ")" not in text[a:b]:
-        a += 1
-    return a, b
-
-
-def train(full_names: list[str | None], sentences: int = 4000, seed: int = 7) -> tuple[Lexicon, Field]:
+def train(full_names: list[str | None], sentences: int = 10000, seed: int = 7) -> tuple[Lexicon, Field]:
     """Lexicon and fitted field from the names of known people; ``sentences`` bounds the training set."""
     from loomtime.llm.pii_training import examples
 
@@ -490,7 +503,6 @@ def find_personal(documents: DataFrame, people: DataFrame, doc_id: str = "doc_id
                 body = body.as_py()
                 if body:
                     for a, b, kind in field.decode(body, lexicon):
-                        a, b = phone_border(body, a, b, kind)
                         rows.append((doc, kind, a, b, body[a:b]))
             columns = list(zip(*rows)) or [()] * 5
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
@@ -517,7 +529,6 @@ def redact(documents: DataFrame, people: DataFrame, doc_id: str = "doc_id", text
                 spans = field.decode(body, lexicon) if body else []
                 parts, at = [], 0
                 for a, b, kind in spans:
-                    a, b = phone_border(body, a, b, kind)
                     parts += [body[at:a], PLACEHOLDERS[kind]]
                     at = b
                 out.append("".join(parts) + body[at:] if body else body)
