@@ -15,7 +15,7 @@ OPENINGS = {
     "name": "our colleague|thanks to|many thanks,|signed by|written by|approved by|as agreed with|on behalf of|invoice for|attention|meeting with|the tenant|the patient|maintainer:|patch by|cc:|guest:|spoke to|questions to|"
             "Frau|Herr|Kunde:|zuständig ist|im Auftrag von|Dank an|Ansprechpartner:|Mme|M.|merci à|le client|de la part de|responsable :|Señora|Señor|el paciente|firmado por|gracias a|la inquilina|attn.",
     "email": "email:|e-mail|mail to|write to|reply to|send it to|contact|copy to|address of the owner:|E-Mail an|schreiben an|courriel :|écrire à|correo:|escribir a|mailto:|owner =|user:|sent from",
-    "phone": "phone|phone:|tel.|tel:|call|mobile|cell:|fax|dial|text|ring|hotline:|by phone under|phone number is|Telefon|Tel.:|Mobil|Handy:|anrufen unter|téléphone :|tél.|appeler le|portable|teléfono|móvil:|llamar al|whatsapp",
+    "phone": "phone|phone:|tel.|tel:|call|mobile|cell:|fax|dial|text|ring|hotline:|by phone under|phone number is|Telefon|Tel.:|Mobil|Handy:|anrufen unter|téléphone :|tél.|appeler le|portable|teléfono|móvil:|llamar al|whatsapp|office|work|home|reception|direct line|extension|desk",
     "address": "address:|lives at|living at|the flat at|deliver to|ship to|moved to|our office at|residence:|registered at|home address|visit us at|mail the form to|wohnhaft|Büro|Wohnsitz|Filiale|Praxis|Anschrift|Anschrift:|Adresse:|wohnt|Lieferung an|adresse :|demeurant|habite au|"
                "livrer au|domicilio:|vive en|dirección:|entregar en|based at",
 }
@@ -58,6 +58,11 @@ FIXME {name}: the {noun} fails
 {place}
 {name}, tel. {phone}
 {name} / {phone} / {email}
+{conj} {name} said, the {noun} is late.
+{conj} {name} left, nobody read the {noun}.
+{conj} {name} and {name} asked for it
+{name}, {noun} {phone}
+{name}, {noun} {bare}
 {name} wrote the {noun} and {name} checked it.
 {name} told me that the {noun} broke.
 I met {name}, {name} and {name} at the {noun} talk.
@@ -262,7 +267,8 @@ DOMAINS = "example.com example.org example.net mail.example.edu post.example.co.
 STREET_WORDS = "Elm,Park,High,Church,Long Acre,Victoria,Queen's,Saint John,St. Peter,West,Tenth,Green Hollow,River Bend,Miller's,Orchard,Twin Oaks,Sunset,Low Meadow".split(",")
 STREET_ENDS = "Street St Road Rd Lane Ln Drive Dr Terrace Crescent Avenue Ave Boulevard Blvd Court Close Way Place Square Row Walk Grove Gardens".split()
 GERMAN = "Schillerstraße,Goethestr.,Ahornweg,Eichenallee,Schmiedegasse,Kirchplatz,Bahnhofstraße,Südring,Oberer Graben,Untere Bergstraße,Am Alten Markt,Am Hang,Neue Gartenstraße,Im Kleinen Feld,Tulpengasse,Hafendamm,An der Mühle,Zum Wiesengrund".split(",")
-FRENCH = "rue des Lilas,avenue de la République,boulevard du Nord,chemin des Deux-Moulins,impasse de la Tour,rue du Château,avenue du Grand Parc,chemin des Quatre Petits Chênes,rue de la Fontaine,place du Vieux-Marché,allée des Roses,quai de la Marine,rue Voltaire,cours Saint-Louis".split(",")
+FRENCH_TYPES, FRENCH_LINKS = "rue avenue boulevard chemin impasse place allée quai cours route".split(), "du ,de la ,des ,de l',de ,".split(",")
+FRENCH_WORDS, FRENCH_FIRST = "Lilas République Nord Moulins Tour Château Parc Chênes Fontaine Marché Roses Marine Voltaire Saint-Louis Gare Forêt".split(), "Grand Petit Haut Bas Nouveau Quatre Belle Jeune".split()
 SPANISH = "Calle de la Luna,Calle del Monte Alto,Avenida de los Pinos,Paseo del Mar,Plaza Nueva,Calle Siete Palacios,Camino del Molino,Calle Sol,Plaza de la Iglesia Vieja,Avenida del Parque Norte,Ronda de Poniente".split(",")
 ID_LABELS = ["passport", "passport no.", "passport number", "ID card", "identity card no.", "national id", "national insurance number", "tax id", "tax number", "social insurance number", "driving licence", "DNI", "NIE", "NIF", "número de DNI", "pasaporte",
              "Ausweis", "Ausweisnummer", "Personalausweis", "Reisepass", "Steuer-ID", "Steuernummer", "passeport", "numéro de sécurité sociale", "carte d'identité", "NINO"]
@@ -365,16 +371,24 @@ class Maker:
         elif kind < 0.68:
             text = r.choice(GERMAN) + " " + number + r.choice(["", "", "a", " c", " b"])
         elif kind < 0.85:
-            text = number + r.choice([" ", ", ", " bis "]) + r.choice(FRENCH)
+            text = number + r.choice([" ", ", ", " bis "]) + self.french()
         else:
             text = r.choice(SPANISH) + r.choice([" ", ", "]) + number
         return text.replace(" ", "\n    ", 1) if r.random() < 0.06 else text
 
+    def french(self) -> str:
+        r = self.r
+        first = r.choice(FRENCH_FIRST) + " " if r.random() < 0.4 else ""
+        return f"{r.choice(FRENCH_TYPES)} {r.choice(FRENCH_LINKS)}{first}{r.choice(FRENCH_WORDS)}"
+
+    def conj(self) -> str:
+        return self.r.choice("As When Since While After Before If Because Although Until Once And But So".split())
+
     def place(self) -> str:
         return self.r.choice(PLACES)
 
     def street(self) -> str:
-        return self.r.choice([f"{self.r.choice(STREET_WORDS)} Street", self.r.choice(FRENCH), self.r.choice(GERMAN)])
+        return self.r.choice([f"{self.r.choice(STREET_WORDS)} Street", self.french(), self.r.choice(GERMAN)])
 
     def noun(self) -> str:
         return self.r.choice(NOUNS)
