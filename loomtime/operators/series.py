@@ -1,8 +1,8 @@
 """Python kernels over ordered series, hot series included.
 
 ``series_map`` is for kernels that look back a bounded number of rows (recursions count as such once older rows weigh less than a
-double can show). Rows are sorted once by (series, order) over the whole cluster; a partition gets the last rows of the series that began
-before it. ``whole_series`` is for algorithms that need a whole series at once (decomposition, transforms); a series then has to
+double can show). A series is one task's as long as it fits there; a longer one is cut into slices over the cluster, and a slice gets the rows before
+it. ``whole_series`` is for algorithms that need a whole series at once (decomposition, transforms); a series then has to
 fit a task, so such verbs are meant for pre-aggregated series.
 """
 
@@ -14,12 +14,11 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtime.operators.ranges import runs_of, sorted_once, whole_partition
+from loomtime.operators.ranges import EDGE, PIECE, pieces, starts_of, streamed
 from loomtime.runtime import free_name, partitions
 
 
@@ -29,76 +28,34 @@ def memory_of(alpha: float) -> int:
 
 
 def series_map(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], fields: Sequence[tuple[str, str]],
-               kernel: Callable[[pd.DataFrame], pd.DataFrame], halo: int) -> DataFrame:
+               kernel: Callable[[pd.DataFrame], pd.DataFrame], halo: int, most: int | None = None) -> DataFrame:
     """``df`` with new columns ``fields`` (name, type) by ``kernel``, which gets the ``inputs`` as doubles with a column __s numbering the
     series, rows in order, and returns the new columns row by row. ``halo`` is the number of earlier rows a row depends on.
 
-    At most ``halo`` rows a partition cross its border, so what is sent round is bounded by halo times the number of partitions. Null keys are a series;
-    rows with a null order come first.
+    A series of more than ``most`` rows is cut into slices, each with the ``halo`` rows before it (see ``pieces``). Null keys are a series; rows with a
+    null order come first.
     """
     code = free_name(df, "series")
     key = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys]) if keys else F.lit("")
-    values = {f"{code}v{i}": F.col(c).cast("double") for i, c in enumerate(inputs)}
-    ordered = sorted_once(df.withColumns({code: key, **values}), code, *order)
-    names = list(inputs)
-
-    def frame(part: pa.Table, codes: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"__s": codes, **{n: part[f"{code}v{i}"].to_numpy() for i, n in enumerate(names)}})
-
-    def codes_of(part: pa.Table) -> np.ndarray:
-        mark = np.zeros(part.num_rows, np.int64)
-        mark[runs_of(part[code])[1:]] = 1
-        return np.cumsum(mark)
-
-    columns = [f"{code}v{i}" for i in range(len(names))]
-
-    def tails(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = whole_partition(batches)
-        if part is None:
-            return
-        here = TaskContext.get().partitionId()
-        start = int(runs_of(part[code])[-1])
-        first = max(start, part.num_rows - halo)
-        t = part.slice(first)
-        n = t.num_rows
-        one = start == 0
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([here] * n, pa.int32()), t[code].combine_chunks(), pa.array([one] * n), pa.array([part[code][0].as_py()] * n), *[t[c].combine_chunks() for c in columns]],
-            names=["pid", "key", "one", "opens", *columns])
-
-    before: dict[int, pd.DataFrame] = {}
-    if halo > 0:
-        kinds = ", ".join(f"`{c}` double" for c in columns)
-        seen = ordered.mapInArrow(tails, f"pid int, key string, one boolean, opens string{', ' if kinds else ''}{kinds}").toArrow().to_pandas()
-        kept: pd.DataFrame | None = None
-        held = None
-        for pid, g in seen.groupby("pid", sort=True):
-            if held is not None and g.opens.iloc[0] == held:
-                before[pid] = kept
-            body = g[columns].set_axis(names, axis=1)
-            if g.one.iloc[0] and held == g.key.iloc[0]:
-                body = pd.concat([kept, body])
-            kept, held = body.tail(halo), g.key.iloc[0]
-    sent = df.sparkSession.sparkContext.broadcast(before)
+    columns = {f"{code}v{i}": F.col(c).cast("double") for i, c in enumerate(inputs)}
+    helpers = list(columns)
+    names = dict(zip(inputs, helpers))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = whole_partition(batches)
-        if part is None:
-            return
-        body = frame(part, codes_of(part))
-        early = sent.value.get(TaskContext.get().partitionId())
-        skip = 0
-        if early is not None and len(early):
-            skip = len(early)
-            body = pd.concat([early.assign(__s=0), body], ignore_index=True)
-        made = kernel(body).iloc[skip:]
-        t = part.drop_columns([code, *columns])
-        for (name, kind) in fields:
-            t = t.append_column(name, _column(made[name], kind))
-        yield from t.to_batches(max_chunksize=20_000)
+        for part in streamed(batches, [code, PIECE]):
+            mark = np.zeros(part.num_rows, np.int64)
+            mark[starts_of(part, [code, PIECE])[1:]] = 1
+            made = kernel(pd.DataFrame({"__s": np.cumsum(mark), **{n: part[c].to_numpy() for n, c in names.items()}}))
+            own = part[EDGE].to_numpy() == 0
+            t = part.drop_columns([code, PIECE, EDGE, *helpers])
+            for name, kind in fields:
+                t = t.append_column(name, _column(made[name], kind))
+            yield from (t if own.all() else t.filter(pa.array(own))).to_batches(max_chunksize=20_000)
 
     schema = T.StructType(list(df.schema.fields) + [T.StructField(n, T.DoubleType() if k == "double" else T.IntegerType() if k == "int" else T.StringType()) for n, k in fields])
-    return ordered.mapInArrow(run, schema)
+    whole, slices = pieces(df.withColumns({code: key, **columns}), code, list(order), halo, most=most)
+    out = whole.mapInArrow(run, schema)
+    return out if slices is None else out.unionByName(slices.mapInArrow(run, schema))
 
 
 def _column(x: pd.Series, kind: str) -> pa.Array:

@@ -1,15 +1,14 @@
 """Implausible readings: impossible in the unit, stuck, or far off what the source leads one to expect.
 
-Readings are sorted once by (source, date); a hot source spreads over many partitions. Each partition gets up to ``HALO``
-readings of the sources that go on in its neighbours, so that no run and no level is cut at a border. Within a partition all
-sources are worked on at once. Course, scales and scatter of a source cut by a border are exact medians over all its readings, in all partitions
-(``_Cut``); they are found first, one after the other:
+A source is one task's as long as it fits there; one of more than ``MOST`` rows is cut into slices over the cluster, and each slice gets ``HALO`` readings
+of its neighbours by a shuffle (``pieces``). All sources of a batch are worked on at once. Course, scales and scatter of a source that lies in slices are
+exact medians over all its readings in all slices (``_Cut``), found first, one after the other, so that the result doesn't depend on the cut:
 
 1. the daily course (median by hour of day of what a running median leaves) is taken off;
-2. an undecimated Haar wavelet decomposition over four scales gives detail coefficients; those beyond ``CANDIDATE`` times
-   their source's robust scale (median absolute deviation at that scale) mark the readings under them as candidates;
-3. a candidate is a spike if it lies at least ``limit`` times the source's ordinary scatter off the level of its neighbours (exact
-   check; a median level follows lasting changes and ignores runs of a few readings);
+2. an undecimated Haar wavelet decomposition over up to four scales gives detail coefficients; one beyond ``CANDIDATE`` times its source's robust scale
+   (median absolute deviation at that scale) says that something jumps here, and only readings under such a coefficient can be spikes;
+3. jumps that stay are told from spikes by the detail of the reading itself, what is left of it when the level is taken off. The level is the median of the
+   readings round it and so follows a lasting change but not a few readings; a spike's detail is ``limit`` times its robust scale or more;
 4. runs of readings with zero detail, i.e. equal successive values, are stuck; bounds of the unit tell the impossible ones.
 """
 
@@ -19,11 +18,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtime.operators.ranges import group_medians, runs_of, sorted_once, whole_partition
+from loomtime.operators.ranges import EDGE, PIECE, group_medians, pieces, starts_of, streamed
+from loomtime.runtime import checkpointed
 
 # Spellings of units (lower case, without blanks, dots and degree signs) and the bounds of what can be measured in them
 UNITS = {
@@ -38,7 +37,9 @@ CODES = {u: i for i, u in enumerate(BOUNDS)}
 _LOW = np.array([b[0] for b in BOUNDS.values()] + [-np.inf])
 _HIGH = np.array([b[1] for b in BOUNDS.values()] + [np.inf])
 
-HALO = 128  # readings kept of a neighbouring partition: five days of an hourly source
+HALO = 192  # readings a slice gets of its neighbour
+INSIDE = 48  # readings at either end of a stuck stretch that count for that; what lies further inside touches nothing outside
+FEWEST = 8  # readings that a source's scatter can be taken from
 CANDIDATE = 3.5
 SCALES = (1, 2, 4, 8)
 NEAR = 8  # neighbours to either side that make up the level
@@ -132,22 +133,23 @@ def _course(y: np.ndarray, src: np.ndarray, start: np.ndarray, size: np.ndarray,
     return table[src, low % 24] * (1 - part) + table[src, (low + 1) % 24] * part
 
 
-def _candidates(y: np.ndarray, src: np.ndarray, start: np.ndarray, size: np.ndarray, sources: int, cut: _Cut, chain: str, readings: np.ndarray) -> np.ndarray:
+def _candidates(y: np.ndarray, src: np.ndarray, start: np.ndarray, size: np.ndarray, sources: int, cut: _Cut, chain: str) -> np.ndarray:
     """Readings under a Haar detail coefficient far beyond its source's robust scale."""
     n = len(y)
-    total = np.r_[0, np.cumsum(y)]
     at = np.arange(n)
     marks = np.zeros(n + 1, np.int64)
+    sums, width = y, 1  # of the readings from each one on; doubled, so that a sum never depends on what came long before
     for w in SCALES:
-        ok = (at - start >= w) & (start + size - at >= w)
-        i = at[ok]
-        detail = np.abs((total[i + w] - total[i]) - (total[i] - total[i - w])) / w
+        while width < w:
+            sums, width = sums[:-width] + sums[width:] if len(sums) > width else np.empty(0), 2 * width
+        i = at[(at - start >= w) & (start + size - at >= w)]
+        detail = np.abs(sums[i] - sums[i - w]) / w if len(i) else np.empty(0)
         scale = 1.4826 * cut.medians(f"{chain}haar{w}", detail, src[i], sources, i)[src[i]]
         hit = i[detail > CANDIDATE * scale]
         np.add.at(marks, hit - w, 1)
         np.add.at(marks, hit + w, -1)
     cut.ready()
-    return (np.cumsum(marks[:-1]) > 0) | (readings[src] < 2 * SCALES[-1])
+    return np.cumsum(marks[:-1]) > 0
 
 
 def _stuck(v: np.ndarray, src: np.ndarray, least: int) -> np.ndarray:
@@ -169,7 +171,7 @@ def _spikes(src: np.ndarray, t: np.ndarray, v: np.ndarray, quiet: np.ndarray, li
         y = np.where(np.isfinite(v), v - centre, 0)
         course = _course(y, src, start, size, (t % 86_400_000_000) / 3.6e9, sources, cut, chain, readings)
         y = y - course
-        candidate = _candidates(y, src, start, size, sources, cut, chain, readings)
+        candidate = _candidates(y, src, start, size, sources, cut, chain)
         calm, spike = y, np.zeros(len(y), bool)
         for turn in "12":  # the second time without the first time's spikes
             level = _running_median(calm, start, size, NEAR)
@@ -183,7 +185,7 @@ def _spikes(src: np.ndarray, t: np.ndarray, v: np.ndarray, quiet: np.ndarray, li
                 scatter = np.where(none, 1.4826 * cut.medians(f"{chain}moving{turn}", off[use], src[use], sources, use, only=none), scatter)
                 cut.ready()
             scatter = scatter[src]
-            spike = candidate & (off >= limit * scatter) & (readings[src] >= 8)
+            spike = candidate & (off >= limit * scatter) & (readings[src] >= FEWEST)
             calm = np.where(spike, level, y)
     return spike | ~np.isfinite(v), centre + course + level, scatter
 
@@ -194,13 +196,15 @@ def judge(src: np.ndarray, t: np.ndarray, v: np.ndarray, limit: float, stuck_run
     cut = cut or _Cut({}, np.ones(len(v), bool), {})
     stuck = _stuck(v, src, stuck_run)
     spike, expected, scatter = _spikes(src, t, v, stuck, limit, cut, "")
-    free = ~stuck
-    if (stuck.any() or cut.ids) and free.any():  # a cut source may be stuck elsewhere
+    held = np.bincount(src, stuck, minlength=1) > 0  # without a stuck stretch there is nothing to leave out
+    held[list(cut.ids)] = True  # a source in slices may be stuck elsewhere
+    free = ~stuck & held[src]
+    if free.any():
         kept, own = np.unique(src[free], return_inverse=True)
         cut = cut.of(free, kept)
         again, _, _ = _spikes(own, t[free], v[free], np.zeros(len(own), bool), limit, cut, "free ")
-        small = cut.sizes("free centre", own)[own] < 24
-        spike[free] &= again | small
+        few = cut.sizes("free centre", own)[own] < FEWEST  # too few to say
+        spike[free] &= again | few
     return stuck, spike, expected, scatter
 
 
@@ -218,123 +222,104 @@ def _asked(id: str, t: np.ndarray, v: np.ndarray, own: np.ndarray, limit: float,
     return out
 
 
-def _table(part: pa.Table):
-    starts = runs_of(part["id"])
+def _fresh(src: np.ndarray, t: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The first row of each distinct reading."""
+    return np.r_[True, (np.diff(src) != 0) | (np.diff(t) != 0) | (np.diff(v) != 0)]
+
+
+def _numbered(part: pa.Table, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    starts = starts_of(part, names)
     src = np.zeros(part.num_rows, np.int64)
     src[starts[1:]] = 1
-    src = np.cumsum(src)
+    return starts, np.cumsum(src)
+
+
+def _for_neighbours(part: pa.Table) -> np.ndarray:
+    """Distinct readings, without the inside of stuck stretches."""
+    _, src = _numbered(part, ["id"])
     t, v = part["t"].to_numpy(), part["v"].to_numpy()
-    unit = part["u"].to_numpy()
-    fresh = np.r_[True, (np.diff(src) != 0) | (np.diff(t) != 0) | (np.diff(v) != 0)]
-    return starts, src, t, v, unit, fresh
-
-
-def _edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part = whole_partition(batches)
-    if part is None:
-        return
-    here = TaskContext.get().partitionId()
-    starts, src, t, v, unit, fresh = _table(part)
-    keep = np.flatnonzero(fresh)
-    first, last = keep[src[keep] == 0][:HALO], keep[src[keep] == src[-1]][-HALO:]
-    pick = np.unique(np.r_[first, last])
-    side = np.isin(pick, first).astype(np.int8) + 2 * np.isin(pick, last).astype(np.int8)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(pick), here, np.int32)), pa.array(side.astype(np.int32)), part["id"].take(pa.array(pick)).combine_chunks(), pa.array(t[pick]), pa.array(v[pick]), pa.array(unit[pick])],
-        names=["pid", "side", "id", "t", "v", "u"])
+    keep = np.flatnonzero(_fresh(src, t, v))
+    run = np.cumsum(np.r_[True, (np.diff(v[keep]) != 0) | (np.diff(src[keep]) != 0)]) - 1
+    size = np.bincount(run)
+    place = np.arange(len(keep)) - np.r_[0, np.cumsum(size)[:-1]][run]
+    out = np.zeros(part.num_rows, bool)
+    out[keep[(place < INSIDE) | (size[run] - place <= INSIDE)]] = True
+    return out
 
 
 def flag_implausible(df: DataFrame, row: str = "row_no", source: str = "id", date: str = "date", value: str = "value", unit: str | None = "unit",
-                     limit: float = 10.0, stuck_run: int = 8) -> DataFrame:
+                     limit: float = 10.0, stuck_run: int = 8, most: int | None = None) -> DataFrame:
     """(row, impossible, stuck, spike, expected, scatter) for each row of ``df`` with a source, a date and a value.
 
     A repeated reading (same source, date and value) counts once and all its rows get its flags. Rows without source, date or value (null, NaN)
     are never a case and are left out. A missing unit is the source's most frequent one; an unknown unit has no bounds. A source
-    of fewer than 8 readings has no spikes. Infinite values are spikes. An empty table gives no rows. What a partition
-    learns of its neighbours is at most 2 * HALO readings each, so it is bounded by the number of partitions.
+    of fewer than ``FEWEST`` readings has no spikes. Infinite values are spikes. An empty table gives no rows. The driver gets some 60 counts and medians of
+    each source of more than ``most`` rows and a few numbers a slice of it, nothing of the others.
     """
     spark = df.sparkSession
     t, v = F.col(date).cast("timestamp"), F.col(value).cast("double")
     u = F.coalesce(unit_code(F.col(unit)) if unit else F.lit(None).cast("int"), F.lit(-1))
     rows = df.where(F.col(source).isNotNull() & t.isNotNull() & v.isNotNull() & ~F.isnan(v)).select(
         F.col(row).cast("bigint").alias("row"), F.col(source).cast("string").alias("id"), F.unix_micros(t).alias("t"), v.alias("v"), u.alias("u"))
-    ordered = sorted_once(rows, "id", "t", "v")
-
-    around: dict[int, dict[str, tuple]] = {}
-    seen = ordered.mapInArrow(_edges, "pid int, side int, id string, t bigint, v double, u int").toArrow().to_pandas()
-    if len(seen):
-        ends = {p: g for p, g in seen.groupby("pid", sort=True)}
-        known = sorted(ends)
-        for a, b in zip(known, known[1:]):
-            tail, head = ends[a][ends[a].side >= 2], ends[b][ends[b].side % 2 == 1]
-            if tail.id.iloc[-1] == head.id.iloc[0]:
-                around.setdefault(b, {})["before"] = (tail.t.to_numpy(), tail.v.to_numpy(), tail.u.to_numpy())
-                around.setdefault(a, {})["after"] = (head.t.to_numpy(), head.v.to_numpy(), head.u.to_numpy())
-    sent = spark.sparkContext.broadcast(around)
-
-    def joined(t, v, u, beside):
-        """Readings of a partition between those of its neighbours: (times, values, units, rows before)."""
-        none = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int32))
-        (bt, bv, bu), (at, av, au) = beside.get("before", none), beside.get("after", none)
-        return np.r_[bt, t, at], np.r_[bv, v, av], np.r_[bu, u, au].astype(np.int64), len(bt)
-
-    def borders(starts, ids, beside) -> dict[int, str]:
-        picked = ([0] if "before" in beside else []) + ([len(starts) - 1] if "after" in beside else [])
-        return {k: ids[int(starts[k])].as_py() for k in picked}
-
-    def values_asked(known: dict):
-        """(id, name, sub-group) as one text, and a value: what cut sources' next medians are taken over; a row of sub-group -1 says that the name was asked for."""
-
-        def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            beside = sent.value.get(TaskContext.get().partitionId(), {})
-            part = whole_partition(batches) if beside else None
-            if part is None:
-                return
-            starts, src, t, v, unit, fresh = _table(part)
-            for k, id in borders(starts, part["id"], beside).items():
-                mine = fresh & (src == k)
-                here = {side: x for side, x in beside.items() if (side == "before" and k == 0) or (side == "after" and k == len(starts) - 1)}
-                jt, jv, _, before = joined(t[mine], v[mine], unit[mine], here)
-                own = np.zeros(len(jt), bool)
-                own[before : before + mine.sum()] = True
-                for name, (sub, values) in _asked(id, jt, jv, own, limit, stuck_run, known).items():
-                    keys = pa.array([f"{name}\0{i}\0{id}" for i in range(-1, 24)])
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.r_[0, sub + 1])), pa.array(np.r_[0.0, values])], names=["key", "x"])
-
-        return ask
-
+    whole, slices = pieces(rows, "id", ("t", "v", "row"), HALO, HALO, _for_neighbours, most)
     known: dict[str, dict[str, dict[int, float]]] = {}
-    while around:  # centre, course, Haar scales, scatter twice; a source's medians of one step rest on those before
-        found = group_medians(ordered.mapInArrow(values_asked(known), "key string, x double"), "key", "x")  # a bounded number a partition border
-        for key, (mid, n) in found.items():
-            name, sub, id = key.split("\0", 2)
-            facts = known.setdefault(id, {}).setdefault(name, {-1: 0})
-            if sub != "-1":
-                facts[int(sub)] = mid
-                facts[-1] += n
-        if not found:
-            break
+    units: dict[str, int] = {}
+
+    if slices is not None:
+        slices = checkpointed(slices)
+
+        def values_asked(known: dict):
+            """(id, name, sub-group) as one text, and a value: what the next medians are taken over; a row of sub-group -1 says that the name was asked for."""
+
+            def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for part in streamed(batches, ["id", PIECE], 1):
+                    starts, src = _numbered(part, ["id", PIECE])
+                    t, v, own = part["t"].to_numpy(), part["v"].to_numpy(), part[EDGE].to_numpy() == 0
+                    fresh = _fresh(src, t, v)
+                    for k, at in enumerate(starts):
+                        id, mine = part["id"][int(at)].as_py(), fresh & (src == k)
+                        for name, (sub, values) in _asked(id, t[mine], v[mine], own[mine], limit, stuck_run, known).items():
+                            keys = pa.array([f"{name}\0{i}\0{id}" for i in range(-1, 24)])
+                            yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.r_[0, sub + 1])), pa.array(np.r_[0.0, values])], names=["key", "x"])
+
+            return ask
+
+        while True:  # centre, course, Haar scales, scatter twice; a source's medians of one step rest on those before
+            found = group_medians(slices.mapInArrow(values_asked(known), "key string, x double"), "key", "x")
+            for key, (mid, n) in found.items():
+                name, sub, id = key.split("\0", 2)
+                facts = known.setdefault(id, {}).setdefault(name, {-1: 0})
+                if sub != "-1":
+                    facts[int(sub)] = mid
+                    facts[-1] += n
+            if not found:
+                break
+        votes = slices.where((F.col(EDGE) == 0) & (F.col("u") >= 0)).groupBy("id", "u").agg(F.count(F.lit(1)).alias("n"))
+        units = {r["id"]: r["u"] for r in votes.groupBy("id").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u")).collect()}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = whole_partition(batches)
-        if part is None:
-            return
-        starts, src, t, v, unit, fresh = _table(part)
-        group = np.cumsum(fresh) - 1
-        us, ut, uv, uu = src[fresh], t[fresh], v[fresh], unit[fresh]
-        beside = sent.value.get(TaskContext.get().partitionId(), {})
-        jt, jv, ju, before = joined(ut, uv, uu, beside)
-        js = np.r_[np.zeros(before, np.int64), us, np.full(len(jt) - before - len(us), us[-1])]
-        own = np.zeros(len(jt), bool)
-        own[before : before + len(us)] = True
-        cut = _Cut(borders(starts, part["id"], beside), own, known)
-        stuck, spike, expected, scatter = (x[own] for x in judge(js, jt, jv, limit, stuck_run, cut))
-        votes = np.bincount(js[ju >= 0] * len(CODES) + ju[ju >= 0], minlength=(us[-1] + 1) * len(CODES)).reshape(-1, len(CODES))
-        meant = np.where(votes.any(1), votes.argmax(1), -1)[us]
-        impossible = (uv < _LOW[meant]) | (uv > _HIGH[meant])
-        yield pa.RecordBatch.from_arrays(
-            [part["row"].combine_chunks(), *(pa.array(x[group]) for x in (impossible, stuck, spike, expected, scatter))],
-            names=["row", "impossible", "stuck", "spike", "expected", "scatter"])
-
-    flagged = ordered.mapInArrow(run, "row bigint, impossible boolean, stuck boolean, spike boolean, expected double, scatter double")
+        for part in streamed(batches, ["id", PIECE]):
+            starts, src = _numbered(part, ["id", PIECE])
+            t, v, unit, own = part["t"].to_numpy(), part["v"].to_numpy(), part["u"].to_numpy().astype(np.int64), part[EDGE].to_numpy() == 0
+            votes = np.bincount(src[unit >= 0] * len(CODES) + unit[unit >= 0], minlength=len(starts) * len(CODES)).reshape(-1, len(CODES))
+            meant = np.where(votes.any(1), votes.argmax(1), -1)
+            cut: dict[int, str] = {}
+            if known:
+                cut = {k: part["id"][int(at)].as_py() for k, at in enumerate(starts)}
+                cut = {k: id for k, id in cut.items() if id in known}
+                for k, id in cut.items():
+                    meant[k] = units.get(id, -1)
+            fresh = _fresh(src, t, v)
+            reading = np.cumsum(fresh) - 1
+            us, uv = src[fresh], v[fresh]
+            # copies of a neighbour's reading aren't this slice's to count, though they get its flags
+            stuck, spike, expected, scatter = judge(us, t[fresh], uv, limit, stuck_run, _Cut(cut, own[fresh], known))
+            impossible = (uv < _LOW[meant[us]]) | (uv > _HIGH[meant[us]])
+            out = [part["row"].combine_chunks(), *(pa.array(x[reading]) for x in (impossible, stuck, spike, expected, scatter))]
+            yield from pa.Table.from_arrays(out, names=["row", "impossible", "stuck", "spike", "expected", "scatter"]).filter(pa.array(own)).to_batches(max_chunksize=100_000)
+
+    kinds = "row bigint, impossible boolean, stuck boolean, spike boolean, expected double, scatter double"
+    flagged = whole.mapInArrow(run, kinds)
+    if slices is not None:
+        flagged = flagged.unionByName(slices.mapInArrow(run, kinds))
     return flagged.withColumnRenamed("row", row)

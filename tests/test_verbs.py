@@ -11,6 +11,7 @@ from loomtime.functions.dates import ceil_date, floor_date, is_holiday, week_of_
 from loomtime.functions.freq import Freq, normalize_frequency_alias, parse_freq_str, parse_human_duration
 from loomtime.functions.select import (Panel, contains, drop_zero_variance, ends_with, filter_by_time, flatten_multiindex_column_names, glimpse, group, matches,
                                        reduce_memory_usage, resolve_column_selection, sort_dataframe, starts_with, transform_columns)
+from loomtime.operators.series import series_map
 from loomtime.operators import apply, basis, calendar, decompose, finance, frequency, funnel, grid, plotdata, rolling, shift, timeagg, tsfeatures, validation
 
 
@@ -494,3 +495,29 @@ def test_hot_series_are_cut(spark):
     assert cut.rdd.getNumPartitions() > 1
     with pytest.raises(ValueError):
         rolling.augment_rolling(df, "date", "value", hot=True, center=True)
+
+
+def test_long_series_are_cut_without_a_trace(spark):
+    rng = np.random.default_rng(21)
+    pdf = pd.DataFrame({"id": ["hot"] * 2000 + ["a"] * 40 + ["b"] * 3, "date": [*days("2015-01-01", 2000), *days("2020-01-01", 40), *days("2020-01-01", 3)], "value": rng.normal(size=2043)})
+    df = spark.createDataFrame(pdf)
+    kernel = lambda b: pd.DataFrame({"m": b.groupby("__s", sort=False)["value"].transform(lambda x: x.rolling(30, min_periods=1).max())})
+    whole = series_map(df, ["id"], ["date"], ["value"], [("m", "double")], kernel, 29).toPandas().sort_values(["id", "date"]).reset_index(drop=True)
+    for most in (1000, 100, 20):  # slices longer and shorter than what they look back on
+        cut = series_map(df, ["id"], ["date"], ["value"], [("m", "double")], kernel, 29, most).toPandas().sort_values(["id", "date"]).reset_index(drop=True)
+        pd.testing.assert_frame_equal(whole, cut, check_exact=True)
+
+
+@pytest.mark.parametrize("parts", ["10", "1000"])
+def test_what_the_driver_sees_does_not_grow_with_partitions(spark, parts, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    seen = []
+    for name in ("collect", "toArrow", "toPandas"):
+        old = getattr(Classic, name)
+        monkeypatch.setattr(Classic, name, lambda self, *a, old=old, **k: (lambda got: seen.append(got.num_rows if hasattr(got, "num_rows") else len(got)) or got)(old(self, *a, **k)))
+    df = frame(spark, {"id": ["a", "b"] * 300, "date": list(days("2020-01-01", 300)) * 2, "value": np.arange(600.0)})
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    rolling.augment_ewm(group(df, "id"), "date", "value", alpha=0.001, adjust=False)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(seen) <= 1
