@@ -1,11 +1,12 @@
 """Missing numbers and categories filled from records of the same group and the same time.
 
-A field holds nothing if it is null, NaN, empty, blank or only a marker put in place of content. Each row is described by what
-its group's other days and the other groups' same day say about it; these descriptions follow a mixture whose components have
-a Gaussian block (own value, interpolation of the group's neighbouring days, the group's values a week off, the other groups' mean of that day; all on the
-group's own scale) and a categorical block (own category, nearest known one of the group, the one on the other side). Expectation-maximisation fits it with
-missing entries in any place: executors send only sufficient statistics of a fixed size. Missing numbers become conditional expectations, missing
-categories conditional modes; masks mark what was filled.
+A field holds nothing if it is null, NaN, empty, blank or only a marker put in place of content. Each row is described by what its group's other days and
+the other groups' same day say about it; these descriptions follow a mixture whose components have a Gaussian block (own value, interpolation of the
+group's neighbouring days, the group's values a week off, the other groups' mean of that day; all on the group's own scale) and a categorical block
+(whether the group's nearest known category and the one on the other side are known and equal, and which of them the own category is, if any). So the
+model has the same size for any number of categories. Expectation-maximisation fits it with missing entries in any place: it begins with a bounded
+sample, then goes on over all rows until the likelihood settles; executors add up sufficient statistics of a fixed size. Missing numbers become
+conditional expectations, missing categories conditional modes; masks mark what was filled.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtime.operators.ranges import whole_partition
 from loomtime.runtime import checkpointed, nan_to_null
 
 # What people and programs put in place of a number or a text that they don't have
@@ -36,41 +36,46 @@ def text_holds_nothing(column):
 
 
 class Mixture:
-    """Parameters of the mixture and the two steps of its fitting."""
+    """Parameters of the mixture and the two steps of its fitting.
 
-    def __init__(self, levels: int, components: int):
-        k, m = components, max(1, levels)
-        own = np.full((k, m), 0.2 / m)
-        own[np.arange(k), np.arange(k) % m] += 0.8
+    Rows come as x (numbers, NaN where missing), ``around`` (0: no known category in the group's other days, 1: one, 2: different ones before and
+    after) and ``own`` (0: the nearest one, 1: the one on the other side, 2: another one, -1: missing).
+    """
+
+    def __init__(self, components: int):
+        k = components
+        width = np.geomspace(0.05, 4, k)  # from rows that follow their neighbours closely to rows that hardly do
         self.weight = np.full(k, 1 / k)
-        self.table = np.repeat(own[:, None, :], 3, axis=1)  # component, which category, level
+        self.table = np.full((k, 3, 3), 1 / 9)  # component, around, own
         self.mean = np.zeros((k, D))
-        self.cov = np.repeat((0.5 * np.eye(D) + 0.5)[None], k, axis=0)
+        self.cov = width[:, None, None] * 0.5 * np.eye(D) + 0.5
 
-    def posterior(self, x: np.ndarray, codes: np.ndarray):
+    def posterior(self, x: np.ndarray, around: np.ndarray, own: np.ndarray):
         """(responsibilities, filled means k x n x D, conditional covariances by pattern, pattern of each row, log likelihood)."""
         n, k = len(x), len(self.weight)
-        log = np.repeat(np.log(np.maximum(self.weight, 1e-12))[None], n, axis=0)
-        for j in range(3):
-            log += np.where(codes[:, j, None] >= 0, np.log(self.table[:, j, :].T[codes[:, j]]), 0)
+        either = np.concatenate([self.table, self.table.sum(2, keepdims=True)], axis=2)  # the last one for a missing own category
+        log = np.log(np.maximum(self.weight, 1e-12)) + np.log(either)[:, around, own].T
         seen = ~np.isnan(x)
         pattern = seen @ (1 << np.arange(D))
         full = np.repeat(np.where(seen, x, 0)[None], k, axis=0)
         spare = {}
-        for p in np.unique(pattern):
+        for p in np.flatnonzero(np.bincount(pattern, minlength=1 << D)):
             rows = np.flatnonzero(pattern == p)
             o = np.flatnonzero((p >> np.arange(D)) & 1)
             m = np.setdiff1d(np.arange(D), o)
+            known = x[np.ix_(rows, o)]
             for c in range(k):
                 s = self.cov[c]
                 rest = s[np.ix_(m, m)]
                 if len(o):
-                    inverse = np.linalg.inv(s[np.ix_(o, o)])
-                    d = x[np.ix_(rows, o)] - self.mean[c, o]
-                    log[rows, c] -= 0.5 * (np.einsum("ni,ij,nj->n", d, inverse, d) + np.linalg.slogdet(s[np.ix_(o, o)])[1] + len(o) * 1.8378770664093453)
-                    gain = s[np.ix_(m, o)] @ inverse
-                    rest = rest - gain @ s[np.ix_(o, m)]
-                    full[c][np.ix_(rows, m)] = self.mean[c, m] + d @ gain.T
+                    root = np.linalg.cholesky(s[np.ix_(o, o)])
+                    inverse = np.linalg.inv(root)
+                    d = known - self.mean[c, o]
+                    log[rows, c] -= 0.5 * ((d @ inverse.T) ** 2).sum(1) + np.log(np.diag(root)).sum() + 0.9189385332046727 * len(o)
+                    if len(m):
+                        gain = s[np.ix_(m, o)] @ inverse.T @ inverse
+                        rest = rest - gain @ s[np.ix_(o, m)]
+                        full[c][np.ix_(rows, m)] = self.mean[c, m] + d @ gain.T
                 else:
                     full[c][np.ix_(rows, m)] = self.mean[c, m]
                 extra = np.zeros((D, D))
@@ -81,33 +86,34 @@ class Mixture:
         total = r.sum(1, keepdims=True)
         return r / total, full, spare, pattern, float((np.log(total) + top).sum())
 
-    def statistics(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    def statistics(self, x: np.ndarray, around: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Expected sufficient statistics of some rows as one flat vector; vectors of separate rows add up."""
-        k, _, levels = self.table.shape
-        count, first, second, tables = np.zeros(k), np.zeros((k, D)), np.zeros((k, D, D)), np.zeros((k, 3, levels))
+        k = len(self.weight)
+        count, first, second = np.zeros(k), np.zeros((k, D)), np.zeros((k, D, D))
+        tables = np.zeros((k, 3, 4))
         likelihood = 0.0
         for a in range(0, len(x), 50_000):
-            xs, cs = x[a : a + 50_000], codes[a : a + 50_000]
-            r, full, spare, pattern, ll = self.posterior(xs, cs)
+            s = slice(a, a + 50_000)
+            r, full, spare, pattern, ll = self.posterior(x[s], around[s], own[s])
             likelihood += ll
             count += r.sum(0)
+            cell = around[s] * 4 + own[s] % 4
             for c in range(k):
                 f = full[c]
                 first[c] += r[:, c] @ f
                 second[c] += (f * r[:, c, None]).T @ f
-                for p in np.unique(pattern):
-                    second[c] += r[pattern == p, c].sum() * spare[p, c]
-            for j in range(3):
-                known = cs[:, j] >= 0
-                np.add.at(tables[:, j, :].T, cs[known, j], r[known])
-        return np.r_[likelihood, count, first.ravel(), second.ravel(), tables.ravel()]
+                by_pattern = np.bincount(pattern, r[:, c], minlength=1 << D)
+                second[c] += sum(by_pattern[p] * spare[p, c] for p in np.flatnonzero(by_pattern))
+                tables[c] += np.bincount(cell, r[:, c], minlength=12).reshape(3, 4)
+        chance = self.table / self.table.sum(2, keepdims=True)
+        tables = tables[:, :, :3] + tables[:, :, 3:] * chance
+        return np.r_[likelihood, len(x), count, first.ravel(), second.ravel(), tables.ravel()]
 
     def improve(self, flat: np.ndarray) -> float:
-        """New parameters from added-up statistics (a light prior keeps them proper); the log likelihood before."""
-        k, _, levels = self.table.shape
-        likelihood, rest = flat[0], flat[1:]
-        count, first, second, tables = np.split(rest, np.cumsum([k, k * D, k * D * D]))
-        first, second, tables = first.reshape(k, D), second.reshape(k, D, D), tables.reshape(k, 3, levels)
+        """New parameters from added-up statistics (a light prior keeps them proper); the log likelihood a row before."""
+        k = len(self.weight)
+        count, first, second, tables = np.split(flat[2:], np.cumsum([k, k * D, k * D * D]))
+        first, second, tables = first.reshape(k, D), second.reshape(k, D, D), tables.reshape(k, 3, 3)
         self.weight = (count + 1) / (count.sum() + k)
         self.mean = first / (count + 1)[:, None]
         prior = 0.02 * np.eye(D)
@@ -116,17 +122,17 @@ class Mixture:
         about = second - cross - cross.transpose(0, 2, 1) + count[:, None, None] * m * self.mean[:, None, :]
         self.cov = (about + prior * 5) / (count + 5)[:, None, None]
         self.cov = (self.cov + self.cov.transpose(0, 2, 1)) / 2 + 1e-4 * np.eye(D)
-        self.table = (tables + 0.05) / (tables + 0.05).sum(2, keepdims=True)
-        return likelihood
-
+        self.table = (tables + 0.05) / (tables + 0.05).sum((1, 2), keepdims=True)
+        return flat[0] / max(flat[1], 1)
 
-def _codes(part: pa.Table, levels: list[str]) -> np.ndarray:
-    known = pa.array(levels, pa.string())
-    return np.stack([pc.fill_null(pc.index_in(part[c].combine_chunks(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("c", "near", "far")], axis=1)
+    def likely(self, r: np.ndarray, around: np.ndarray) -> np.ndarray:
+        """Chances that the own category is the nearest one, the one on the other side, or another."""
+        return np.einsum("nk,kno->no", r, self.table[:, around] / self.table[:, around].sum(2, keepdims=True))
 
 
-def _features(part: pa.Table) -> np.ndarray:
-    return np.stack([part[c].to_numpy() for c in ("x0", "x1", "x2", "x3")], axis=1).astype(float)
+def _rows(part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in ("x0", "x1", "x2", "x3")], axis=1).astype(float)
+    return x, part.column("around").to_numpy(zero_copy_only=False).astype(np.int64), part.column("own").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def describe(df: DataFrame, row: str, group: str, date: str, value: str, category: str, markers: Sequence[float]) -> DataFrame:
@@ -169,43 +175,60 @@ def describe(df: DataFrame, row: str, group: str, date: str, value: str, categor
     # a marker-like number inside the range of the group's other numbers is a number
     marker = F.col("odd") & ~F.coalesce(F.col("v").between(F.col("least"), F.col("most")), F.lit(False))
     joined = joined.withColumn("v", F.when(~marker, F.col("v")))
-    return joined.select("row", "g", "v", "c", "mean", "sd", ((F.col("v") - F.col("mean")) / F.col("sd")).alias("x0"), "x1", "x2", "x3", "near", "far")
+    around = F.when(F.col("near").isNull(), 0).when(F.coalesce(F.col("far") != F.col("near"), F.lit(False)), 2).otherwise(1)
+    own = F.when(F.col("c").isNull(), -1).when(F.coalesce(F.col("c") == F.col("near"), F.lit(False)), 0).when(F.coalesce(F.col("c") == F.col("far"), F.lit(False)), 1).otherwise(2)
+    return joined.select("row", "g", "v", "c", "mean", "sd", ((F.col("v") - F.col("mean")) / F.col("sd")).alias("x0"), "x1", "x2", "x3", "near", "far", around.alias("around"), own.alias("own"))
 
 
 def fill_missing(df: DataFrame, row: str = "row_no", group: str = "id", date: str = "date", value: str = "value", category: str = "category",
-                 markers: Sequence[float] = NUMBER_MARKERS, components: int = 12, max_levels: int = 200, rounds: int = 10, tolerance: float = 1e-3) -> DataFrame:
+                 markers: Sequence[float] = NUMBER_MARKERS, components: int = 6, start_rows: int = 20_000, tolerance: float = 1e-3, safety: int = 200) -> DataFrame:
     """(row, group, value, category, value_filled, category_filled): every row of ``df`` with both fields filled, and marks on what was.
 
     Null, NaN, blank and marker fields are missing (a marker number within the range of its group's other numbers is a number). Rows with a null
-    group or date form groups of their own; a group without any number is filled on the scale of all rows; repeated rows are filled
-    alike; without any known number (category) at all the numbers (categories) stay null, still marked. Beyond the ``max_levels`` most frequent
-    categories the rarer ones are not levels of the model: where it can't tell, the group's nearest known category stands. Other columns are ignored.
+    group or date form groups of their own; a group without any number is filled on the scale of all rows, one without any category with the commonest of
+    all; repeated rows are filled alike; without any known number (category) at all the numbers (categories) stay null, still marked. Other columns are
+    ignored. Fitting begins with about ``start_rows`` rows, picked by a hash, and goes on over all rows until the log likelihood a row changes by at most
+    ``tolerance`` (``safety`` only guards against a loop without end).
     """
     spark = df.sparkSession
     table = checkpointed(describe(df, row, group, date, value, category, markers))
-    levels = [r["c"] for r in table.where("c IS NOT NULL").groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c").limit(max_levels).collect()]
-    scale = table.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).first()
+    scale = table.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.count(F.lit(1)).alias("n")).first()
     centre, spread = scale["m"], (scale["s"] or 1.0) if scale["m"] is not None else None
-    model = Mixture(len(levels), max(components, min(len(levels), 2 * components)))
+    top = table.where("c IS NOT NULL").groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c").limit(1).collect()
+    commonest = top[0]["c"] if top else None
+    model = Mixture(components)
+
+    narrow = table.select("x0", "x1", "x2", "x3", "around", "own")
+    share = max(1, scale["n"] // start_rows)
+    some = narrow if share == 1 else table.where(F.pmod(F.xxhash64("row"), F.lit(share)) == 0).select(narrow.columns).limit(4 * start_rows)
+    first = _rows(some.toArrow())
+    before = None
+    for _ in range(safety if len(first[0]) else 0):
+        now = model.improve(model.statistics(*first))
+        if before is not None and abs(now - before) <= tolerance / 10:
+            break
+        before = now
 
-    narrow = table.select("c", "near", "far", "x0", "x1", "x2", "x3")
     before = None
-    for _ in range(rounds):
-        now = spark.sparkContext.broadcast(model)
+    for _ in range(safety):
+        sent = spark.sparkContext.broadcast(model)
 
-        def expect(batches: Iterable[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            part = whole_partition(batches)
-            if part is not None:
-                flat = now.value.statistics(_features(part), _codes(part, levels))
-                yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["s"])
+        def expect(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in batches:
+                if b.num_rows:
+                    flat = sent.value.statistics(*_rows(b))
+                    total = flat if total is None else total + flat
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "s"])
 
-        sums = [np.asarray(r["s"]) for r in narrow.mapInArrow(expect, "s array<double>").collect()]  # one vector a partition
-        if not sums:
+        sums = narrow.mapInArrow(expect, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").toArrow()["s"].to_numpy()
+        if not len(sums):
             break
-        likelihood = model.improve(np.sum(sums, axis=0))
-        if before is not None and abs(likelihood - before) <= tolerance * abs(before):
+        now = model.improve(sums)
+        if before is not None and abs(now - before) <= tolerance:
             break
-        before = likelihood
+        before = now
 
     sent = spark.sparkContext.broadcast(model)
 
@@ -213,26 +236,20 @@ def fill_missing(df: DataFrame, row: str = "row_no", group: str = "id", date: st
         for b in batches:
             if not b.num_rows:
                 continue
-            part = pa.Table.from_batches([b])
             m = sent.value
-            x, codes = _features(part), _codes(part, levels)
-            r, full, _, _, _ = m.posterior(x, codes)
+            x, around, own = _rows(b)
+            r, full, _, _, _ = m.posterior(x, around, own)
             expected = np.einsum("nk,kn->n", r, full[:, :, 0])
-            own_mean, own_sd = part["mean"].to_numpy().astype(float), part["sd"].to_numpy().astype(float)
+            own_mean, own_sd = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("mean", "sd"))
             if centre is not None:
                 own_sd = np.where(np.isnan(own_mean), spread, own_sd)
                 own_mean = np.where(np.isnan(own_mean), centre, own_mean)
-            value_missing, category_missing = np.array(part["v"].is_null()), np.array(part["c"].is_null())
-            guess = own_mean + own_sd * expected
-            numbers = np.where(value_missing, guess, part["v"].to_numpy().astype(float))
-            names = part["c"].combine_chunks()
-            if levels:
-                best = np.einsum("nk,kl->nl", r, m.table[:, 0, :]).argmax(1)
-                guessed = pa.array(levels, pa.string()).take(pa.array(best))
-                lost = codes[:, 1] < 0  # the nearest known category is no level of the model
-                guessed = pc.if_else(pa.array(lost), pc.coalesce(part["near"].combine_chunks(), guessed), guessed)
-                names = pc.coalesce(names, guessed)
-            yield pa.RecordBatch.from_arrays([part["row"].combine_chunks(), part["g"].combine_chunks(), pa.array(numbers, mask=np.isnan(numbers)), names, pa.array(value_missing), pa.array(category_missing)],
+            value_missing, category_missing = np.array(b.column("v").is_null()), np.array(b.column("c").is_null())
+            numbers = np.where(value_missing, own_mean + own_sd * expected, b.column("v").to_numpy(zero_copy_only=False).astype(float))
+            chance = m.likely(r, around)
+            guessed = pc.if_else(pa.array((around == 2) & (chance[:, 1] > chance[:, 0])), b.column("far"), b.column("near"))
+            names = pc.coalesce(b.column("c"), guessed, pa.scalar(commonest, pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("g"), pa.array(numbers, mask=np.isnan(numbers)), names, pa.array(value_missing), pa.array(category_missing)],
                                              names=["row", "g", "value", "category", "value_filled", "category_filled"])
 
     out = table.mapInArrow(fill, "row bigint, g string, value double, category string, value_filled boolean, category_filled boolean")

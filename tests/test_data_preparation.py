@@ -63,14 +63,21 @@ def test_mixture_statistics_add_up():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 4))
     x[rng.random(x.shape) < 0.2] = np.nan
-    codes = rng.integers(-1, 3, (200, 3))
-    m = missing.Mixture(3, 4)
-    whole = m.statistics(x, codes)
-    np.testing.assert_allclose(whole, m.statistics(x[:70], codes[:70]) + m.statistics(x[70:], codes[70:]), rtol=1e-9, atol=1e-9)
-    likelihood = [m.improve(m.statistics(x, codes)) for _ in range(6)]
+    around, own = rng.integers(0, 3, 200), rng.integers(-1, 3, 200)
+    m = missing.Mixture(4)
+    whole = m.statistics(x, around, own)
+    np.testing.assert_allclose(whole, m.statistics(x[:70], around[:70], own[:70]) + m.statistics(x[70:], around[70:], own[70:]), rtol=1e-9, atol=1e-9)
+    assert whole[2:6].sum() == pytest.approx(200) and whole[-36:].sum() == pytest.approx(200)
+    likelihood = [m.improve(m.statistics(x, around, own)) for _ in range(6)]
     assert likelihood[-1] > likelihood[0]
 
 
+def test_any_number_of_categories(spark):
+    rows = [(g * 20 + d, f"g{g:03d}", dt.datetime(2023, 1, 1 + d), float(g + d), None if d == 7 else f"kind {g:03d}" if d < 10 else f"other {g:03d}") for g in range(300) for d in range(20)]
+    out = missing.fill_missing(spark.createDataFrame(rows, "row_no bigint, id string, date timestamp, value double, category string")).where("category_filled").toPandas()
+    assert len(out) == 300 and (out.category == "kind " + out.id.str[1:]).all()
+
+
 # ---- regular grids
 
 
