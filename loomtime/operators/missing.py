@@ -11,15 +11,17 @@ conditional expectations, missing categories conditional modes; masks mark what
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtime.runtime import checkpointed, nan_to_null
+from loomtime.operators.ranges import runs_of, streamed
+from loomtime.runtime import checkpointed, nan_to_null, partitions
 
 # What people and programs put in place of a number or a text that they don't have
 NUMBER_MARKERS = (-1.0, -9.0, -99.0, -999.0, -9999.0, -99999.0, -999999.0, 9999.0, 99999.0, 999999.0, 9999999.0)
@@ -135,6 +137,56 @@ def _rows(part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, part.column("around").to_numpy(zero_copy_only=False).astype(np.int64), part.column("own").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Days of whole groups in order of date (one without date first): what the group's other days say about each. A group has no more rows than days."""
+    for t in streamed(batches, ["g"]):
+        starts = runs_of(t["g"])
+        size = np.diff(np.r_[starts, t.num_rows])
+        src = np.repeat(np.arange(len(starts)), size)
+        at, begin, end = np.arange(t.num_rows), starts[src], (starts + size)[src] - 1
+        m, n = t["m"].to_numpy().astype(float), t["n"].to_numpy().astype(float)
+        dated = ~np.isnan(n)
+        has = ~np.isnan(m)
+        count = np.bincount(src, has)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = np.bincount(src, np.where(has, m, 0)) / count
+            sd = np.sqrt(np.bincount(src, np.where(has, (m - mean[src]) ** 2, 0)) / count)
+        sd = np.where(sd > 0, sd, 1.0)
+        own = (m - mean[src]) / sd[src]
+        least, most = np.fmin.reduceat(t["lo"].to_numpy().astype(float), starts), np.fmax.reduceat(t["hi"].to_numpy().astype(float), starts)
+
+        def beside(known):
+            """Rows of the nearest known day before and after each, -1 where there is none."""
+            last = np.maximum.accumulate(np.where(known, at, -1))
+            before = np.r_[-1, last[:-1]]
+            following = np.minimum.accumulate(np.where(known, at, len(at))[::-1])[::-1]
+            after = np.r_[following[1:], len(at)]
+            return np.where(before >= begin, before, -1), np.where(after <= end, after, -1)
+
+        p, f = beside(has & dated)
+        x1 = np.where(p < 0, own[f], own[p])
+        both = (p >= 0) & (f >= 0)
+        part = (n - n[p]) / np.maximum(n[f] - n[p], 1)
+        x1 = np.where(both, own[p] + (own[f] - own[p]) * part, np.where((p < 0) & (f < 0), np.nan, x1))
+        x1[~dated] = np.nan
+        key = src * 1e8 + np.where(dated, n, -4e7)  # rising
+        week = []
+        for step in (-7, 7):
+            there = np.minimum(np.searchsorted(key, key + step), len(at) - 1)
+            week.append(np.where(dated & (key[there] == key + step), own[there], np.nan))
+        x2 = np.where(np.isnan(week[0]), week[1], np.where(np.isnan(week[1]), week[0], (week[0] + week[1]) / 2))
+        p, f = beside(~np.array(t["k"].combine_chunks().is_null()) & dated)
+        with np.errstate(invalid="ignore"):
+            nearer = (p >= 0) & ((f < 0) | ~(n - n[p] > n[f] - n))
+        near, far = np.where(nearer, p, f), np.where(nearer, f, p)
+        k = t["k"].combine_chunks()
+        pick = lambda i: k.take(pa.array(i, mask=i < 0))
+        number = lambda x: pa.array(x, mask=np.isnan(x))
+        out = [t["g"].combine_chunks(), t["d"].combine_chunks(), number(mean[src]), pa.array(sd[src]), number(least[src]), number(most[src]), number(x1), number(x2), pick(near), pick(far), number(own)]
+        names = ["fg", "fd", "mean", "sd", "least", "most", "x1", "x2", "near", "far", "own"]
+        yield from pa.Table.from_arrays(out, names=names).to_batches(max_chunksize=50_000)
+
+
 def describe(df: DataFrame, row: str, group: str, date: str, value: str, category: str, markers: Sequence[float]) -> DataFrame:
     """Each row with its content, its masks, its group's scale and the description the mixture works on."""
     v = nan_to_null(F.col(value).cast("double"))
@@ -145,28 +197,9 @@ def describe(df: DataFrame, row: str, group: str, date: str, value: str, categor
     rows = rows.withColumn("odd", odd)
     daily = rows.groupBy("g", "d").agg(F.avg(F.when(~odd, F.col("v"))).alias("m"), F.min(F.when(~odd, F.col("v"))).alias("lo"),
                                        F.max(F.when(~odd, F.col("v"))).alias("hi"), F.min("c").alias("k"))
-    whole = Window.partitionBy("g")
-    order = whole.orderBy("n")
-    past = order.rowsBetween(Window.unboundedPreceding, -1)
-    future = whole.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)  # a frame open to the end would be read again for each row
-    n = F.datediff("d", F.lit("1970-01-01"))
-    daily = daily.withColumn("n", n)
-    when = lambda x: F.when(F.col(x).isNotNull(), F.col("n"))
-    daily = daily.select(
-        "*", F.avg("m").over(whole).alias("mean"), F.stddev_pop("m").over(whole).alias("sd"), F.min("lo").over(whole).alias("least"), F.max("hi").over(whole).alias("most"),
-        F.last("m", True).over(past).alias("pm"), F.last(when("m"), True).over(past).alias("pn"), F.last("k", True).over(past).alias("pk"), F.last(when("k"), True).over(past).alias("pkn"),
-        F.last("m", True).over(future).alias("fm"), F.last(when("m"), True).over(future).alias("fn"), F.last("k", True).over(future).alias("fk"), F.last(when("k"), True).over(future).alias("fkn"),
-        F.avg("m").over(order.rangeBetween(-7, -7)).alias("w1"), F.avg("m").over(order.rangeBetween(7, 7)).alias("w2"))
-    sd = F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
-    day = daily.groupBy("d").agg(F.avg((F.col("m") - F.col("mean")) / sd).alias("sum_day"), F.count("m").alias("of_day"))
-    daily = daily.withColumn("sd", sd)
-    between = F.when(F.col("pm").isNotNull() & F.col("fm").isNotNull(), F.col("pm") + (F.col("fm") - F.col("pm")) * ((F.col("n") - F.col("pn")) / (F.col("fn") - F.col("pn")))).otherwise(F.coalesce("pm", "fm"))
-    nearer = F.coalesce(F.col("n") - F.col("pkn") <= F.col("fkn") - F.col("n"), F.col("pkn").isNotNull())
-    facts = daily.select(
-        F.col("g").alias("fg"), F.col("d").alias("fd"), "mean", "sd", "least", "most", ((between - F.col("mean")) / F.col("sd")).alias("x1"),
-        ((F.coalesce((F.col("w1") + F.col("w2")) / 2, "w1", "w2") - F.col("mean")) / F.col("sd")).alias("x2"),
-        F.when(nearer, F.col("pk")).otherwise(F.col("fk")).alias("near"), F.when(nearer, F.col("fk")).otherwise(F.col("pk")).alias("far"),
-        ((F.col("m") - F.col("mean")) / F.col("sd")).alias("own"))
+    daily = daily.withColumn("n", F.datediff("d", F.lit("1970-01-01"))).repartition(partitions(df.sparkSession), "g").sortWithinPartitions("g", "n")
+    facts = checkpointed(daily.mapInArrow(_neighbours, "fg string, fd date, mean double, sd double, least double, most double, x1 double, x2 double, near string, far string, own double"))
+    day = facts.groupBy(F.col("fd").alias("d")).agg(F.avg("own").alias("sum_day"), F.count("own").alias("of_day"))
     facts = facts.join(day.withColumnRenamed("d", "dd"), F.col("fd").eqNullSafe(F.col("dd")), "left")
     others = F.when(F.col("of_day") - F.col("own").isNotNull().cast("int") > 0,
                     (F.col("sum_day") * F.col("of_day") - F.coalesce("own", F.lit(0.0))) / (F.col("of_day") - F.col("own").isNotNull().cast("int")))
@@ -192,10 +225,12 @@ def fill_missing(df: DataFrame, row: str = "row_no", group: str = "id", date: st
     """
     spark = df.sparkSession
     table = checkpointed(describe(df, row, group, date, value, category, markers))
-    scale = table.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.count(F.lit(1)).alias("n")).first()
-    centre, spread = scale["m"], (scale["s"] or 1.0) if scale["m"] is not None else None
-    top = table.where("c IS NOT NULL").groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c").limit(1).collect()
-    commonest = top[0]["c"] if top else None
+    # one pass: what each category adds to the totals, then these
+    parts = table.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("k"), F.avg("v").alias("m"), F.var_pop("v").alias("q"))
+    k, m = F.sum("k"), F.try_divide(F.sum(F.col("k") * F.col("m")), F.sum("k"))
+    scale = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), m.alias("m"), (F.try_divide(F.sum(F.col("k") * (F.col("q") + F.col("m") * F.col("m"))), k) - m * m).alias("q"),
+                      F.max_by(F.col("c"), F.struct(F.col("c").isNotNull(), F.col("n"), F.col("c"))).alias("c")).first()
+    centre, spread, commonest = scale["m"], math.sqrt(max(scale["q"] or 0, 0)) or 1.0, scale["c"]
     model = Mixture(components)
 
     narrow = table.select("x0", "x1", "x2", "x3", "around", "own")
