@@ -196,9 +196,9 @@ def describe(df: DataFrame, row: str, group: str, date: str, value: str, categor
     odd = F.coalesce(F.col("v").isin(*[float(m) for m in markers]), F.lit(False))
     rows = rows.withColumn("odd", odd)
     daily = rows.groupBy("g", "d").agg(F.avg(F.when(~odd, F.col("v"))).alias("m"), F.min(F.when(~odd, F.col("v"))).alias("lo"),
-                                       F.max(F.when(~odd, F.col("v"))).alias("hi"), F.min("c").alias("k"))
+                                       F.max(F.when(~odd, F.col("v"))).alias("hi"), F.min(F.when(F.col("c").isNotNull(), F.xxhash64("c"))).alias("k"))
     daily = daily.withColumn("n", F.datediff("d", F.lit("1970-01-01"))).repartition(partitions(df.sparkSession), "g").sortWithinPartitions("g", "n")
-    facts = checkpointed(daily.mapInArrow(_neighbours, "fg string, fd date, mean double, sd double, least double, most double, x1 double, x2 double, near string, far string, own double"))
+    facts = checkpointed(daily.mapInArrow(_neighbours, "fg string, fd date, mean double, sd double, least double, most double, x1 double, x2 double, near bigint, far bigint, own double"))
     day = facts.groupBy(F.col("fd").alias("d")).agg(F.avg("own").alias("sum_day"), F.count("own").alias("of_day"))
     facts = facts.join(day.withColumnRenamed("d", "dd"), F.col("fd").eqNullSafe(F.col("dd")), "left")
     others = F.when(F.col("of_day") - F.col("own").isNotNull().cast("int") > 0,
@@ -208,8 +208,9 @@ def describe(df: DataFrame, row: str, group: str, date: str, value: str, categor
     # a marker-like number inside the range of the group's other numbers is a number
     marker = F.col("odd") & ~F.coalesce(F.col("v").between(F.col("least"), F.col("most")), F.lit(False))
     joined = joined.withColumn("v", F.when(~marker, F.col("v")))
+    code = F.xxhash64("c")  # categories are told apart by 64 bits; their names come back where one is filled
     around = F.when(F.col("near").isNull(), 0).when(F.coalesce(F.col("far") != F.col("near"), F.lit(False)), 2).otherwise(1)
-    own = F.when(F.col("c").isNull(), -1).when(F.coalesce(F.col("c") == F.col("near"), F.lit(False)), 0).when(F.coalesce(F.col("c") == F.col("far"), F.lit(False)), 1).otherwise(2)
+    own = F.when(F.col("c").isNull(), -1).when(F.coalesce(code == F.col("near"), F.lit(False)), 0).when(F.coalesce(code == F.col("far"), F.lit(False)), 1).otherwise(2)
     return joined.select("row", "g", "v", "c", "mean", "sd", ((F.col("v") - F.col("mean")) / F.col("sd")).alias("x0"), "x1", "x2", "x3", "near", "far", around.alias("around"), own.alias("own"))
 
 
@@ -226,7 +227,7 @@ def fill_missing(df: DataFrame, row: str = "row_no", group: str = "id", date: st
     spark = df.sparkSession
     table = checkpointed(describe(df, row, group, date, value, category, markers))
     # one pass: what each category adds to the totals, then these
-    parts = table.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("k"), F.avg("v").alias("m"), F.var_pop("v").alias("q"))
+    parts = checkpointed(table.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("k"), F.avg("v").alias("m"), F.var_pop("v").alias("q")))
     k, m = F.sum("k"), F.try_divide(F.sum(F.col("k") * F.col("m")), F.sum("k"))
     scale = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), m.alias("m"), (F.try_divide(F.sum(F.col("k") * (F.col("q") + F.col("m") * F.col("m"))), k) - m * m).alias("q"),
                       F.max_by(F.col("c"), F.struct(F.col("c").isNotNull(), F.col("n"), F.col("c"))).alias("c")).first()
@@ -279,13 +280,15 @@ def fill_missing(df: DataFrame, row: str = "row_no", group: str = "id", date: st
             if centre is not None:
                 own_sd = np.where(np.isnan(own_mean), spread, own_sd)
                 own_mean = np.where(np.isnan(own_mean), centre, own_mean)
-            value_missing, category_missing = np.array(b.column("v").is_null()), np.array(b.column("c").is_null())
-            numbers = np.where(value_missing, own_mean + own_sd * expected, b.column("v").to_numpy(zero_copy_only=False).astype(float))
+            number = own_mean + own_sd * expected
             chance = m.likely(r, around)
-            guessed = pc.if_else(pa.array((around == 2) & (chance[:, 1] > chance[:, 0])), b.column("far"), b.column("near"))
-            names = pc.coalesce(b.column("c"), guessed, pa.scalar(commonest, pa.string()))
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("g"), pa.array(numbers, mask=np.isnan(numbers)), names, pa.array(value_missing), pa.array(category_missing)],
-                                             names=["row", "g", "value", "category", "value_filled", "category_filled"])
-
-    out = table.mapInArrow(fill, "row bigint, g string, value double, category string, value_filled boolean, category_filled boolean")
+            code = pc.if_else(pa.array((around == 2) & (chance[:, 1] > chance[:, 0])), b.column("far"), b.column("near"))
+            kept = [b.column(c) for c in ("row", "g", "v", "c")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(number, mask=np.isnan(number)), code], names=["row", "g", "v", "c", "number", "code"])
+
+    whole = F.col("v").isNotNull() & F.col("c").isNotNull()
+    made = table.where(~whole).mapInArrow(fill, "row bigint, g string, v double, c string, number double, code bigint")
+    names = parts.where("c IS NOT NULL").select(F.xxhash64("c").alias("code"), F.col("c").alias("name")).groupBy("code").agg(F.min("name").alias("name"))
+    made = made.join(names, "code", "left").select("row", "g", F.coalesce("v", "number"), F.coalesce("c", "name", F.lit(commonest)), F.col("v").isNull(), F.col("c").isNull())
+    out = table.where(whole).select("row", "g", "v", "c", F.lit(False), F.lit(False)).union(made)
     return out.toDF(row, group, value, category, "value_filled", "category_filled")
