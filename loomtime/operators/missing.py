@@ -289,6 +289,8 @@ def fill_missing(df: DataFrame, row: str = "row_no", group: str = "id", date: st
     whole = F.col("v").isNotNull() & F.col("c").isNotNull()
     made = table.where(~whole).mapInArrow(fill, "row bigint, g string, v double, c string, number double, code bigint")
     names = parts.where("c IS NOT NULL").select(F.xxhash64("c").alias("code"), F.col("c").alias("name")).groupBy("code").agg(F.min("name").alias("name"))
-    made = made.join(names, "code", "left").select("row", "g", F.coalesce("v", "number"), F.coalesce("c", "name", F.lit(commonest)), F.col("v").isNull(), F.col("c").isNull())
+    named = F.when(F.col("near_code").isNotNull(), F.col("name"))
+    made = made.withColumnRenamed("code", "near_code").withColumn("code", F.coalesce("near_code", F.xxhash64("row")))  # rows without a code aren't all one key
+    made = made.join(names, "code", "left").select("row", "g", F.coalesce("v", "number"), F.coalesce("c", named, F.lit(commonest)), F.col("v").isNull(), F.col("c").isNull())
     out = table.where(whole).select("row", "g", "v", "c", F.lit(False), F.lit(False)).union(made)
     return out.toDF(row, group, value, category, "value_filled", "category_filled")

@@ -156,6 +156,40 @@ def test_grid_edges(spark):
     assert far["observed"] == 2 and far["missing"] > 0 and far.sum() == 151 * 24 + 1
 
 
+def test_short_and_sparse_buckets_are_imputed_too():
+    rng = np.random.default_rng(3)
+    width = gridfill.BUCKET + 2 * gridfill.HALO
+    t = np.arange(width)
+    x = np.stack([10 + 3 * np.sin(2 * np.pi * t / p) + rng.normal(0, 0.01, width) for p in (8, 6, 24, 24, 5)])
+    size = np.array([30, 12, width, width, 3])
+    known = (rng.random(x.shape) > 0.15) & (t < size[:, None])
+    known[3] = False
+    known[3, [5, 100, 300]] = True  # few known hours in a long bucket
+    known[4, :3] = [True, False, True]
+    got, lost = gridfill.fill(np.where(known, x, 0), known, size)
+    for i, n in enumerate(size):
+        assert np.isfinite(got[i, :n]).all() and not lost[i]
+    assert np.abs(got - x)[0, :30].max() < 1 and np.abs(got - x)[2].max() < 0.2
+
+
+def test_grid_is_the_same_under_any_cut(spark):
+    rng = np.random.default_rng(8)
+    n = 1500
+    keep = rng.random(n) > 0.1
+    keep[[0, -1]] = True
+    keep[700:720] = False
+    pdf = pd.DataFrame({"id": "hot", "date": T0 + pd.to_timedelta(np.arange(n) * 3600, "s"), "value": 20 + 4 * np.sin(2 * np.pi * np.arange(n) / 24) + rng.normal(0, 0.3, n)})[keep]
+    got = []
+    for parts in ("1", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got.append(gridfill.regularize(spark.createDataFrame(pdf)).toPandas().sort_values("hour_start").reset_index(drop=True))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    pd.testing.assert_frame_equal(got[0], got[1])
+    assert len(got[0]) == n and set(got[0].status) == {"observed", "filled"}
+    truth = 20 + 4 * np.sin(2 * np.pi * np.arange(n) / 24)
+    assert np.abs(got[0].value - truth)[~keep].mean() < 0.5
+
+
 # ---- implausible readings
 
 
