@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomtime.plans import data_queries, series_queries
+from loomtime.plans import data_queries, series_queries, verb_queries
 
-_PARTS = (data_queries, series_queries)
+_PARTS = (data_queries, series_queries, verb_queries)
 
 
 def queries() -> dict:

@@ -17,11 +17,14 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; make a private one only where none is set (tests, laptops)."""
+    """Use the cluster's spark.checkpoint.dir; on a local master without one make a private folder. A cluster without one raises ValueError, as a
+    folder of one machine would lose data there."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isEmpty():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster see")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomtime-checkpoint-"))
 
 

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,45 +72,84 @@ def transform_fingerprint(transform: Callable, params: dict) -> str:
     return hashlib.sha256(json.dumps([body, params], sort_keys=True, default=str).encode()).hexdigest()
 
 
+class Folder:
+    """Small files of a folder of any file system the session knows."""
+
+    def __init__(self, spark: SparkSession, uri: str):
+        self.jvm, self.uri = spark._jvm, uri.rstrip("/")
+        self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.uri}/{name}" if name else self.uri)
+
+    def read(self, name: str) -> str | None:
+        if not self.fs.exists(self._path(name)):
+            return None
+        stream = self.fs.open(self._path(name))
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """The whole file or nothing: written beside it, then renamed."""
+        part = self._path(f".{name}.{uuid.uuid4().hex}")
+        stream = self.fs.create(part, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        self.fs.delete(self._path(name), False)
+        if not self.fs.rename(part, self._path(name)):
+            raise OSError(f"can't write {self._path(name)}")
+
+    def take(self, name: str) -> bool:
+        """Make a file that must not be there yet."""
+        self.fs.mkdirs(self._path(name).getParent())
+        try:
+            return bool(self.fs.createNewFile(self._path(name)))
+        except Py4JJavaError:
+            return False
+
+    def remove(self, name: str) -> None:
+        self.fs.delete(self._path(name), True)
+
+
 class FileLockManager:
     """Lock files of a folder."""
 
-    def __init__(self, folder: str, timeout: float = 60.0, poll: float = 0.1):
-        self.folder, self.timeout, self.poll = folder, timeout, poll
+    def __init__(self, folder: Folder | str, timeout: float = 60.0, poll: float = 0.1):
+        self.folder = folder if isinstance(folder, Folder) else Folder(SparkSession.active(), folder)
+        self.timeout, self.poll = timeout, poll
 
     @contextlib.contextmanager
     def acquire(self, name: str) -> Iterator[None]:
-        os.makedirs(self.folder, exist_ok=True)
-        path = os.path.join(self.folder, f"{name}.lock")
         end = time.monotonic() + self.timeout
-        while True:
-            try:
-                os.close(os.open(path, os.O_CREAT | os.O_EXCL))
-                break
-            except FileExistsError:
-                if time.monotonic() > end:
-                    raise TimeoutError(f"{path} is held") from None
-                time.sleep(self.poll)
+        while not self.folder.take(f"{name}.lock"):
+            if time.monotonic() > end:
+                raise TimeoutError(f"{name}.lock in {self.folder.uri} is held")
+            time.sleep(self.poll)
         try:
             yield
         finally:
-            with contextlib.suppress(FileNotFoundError):
-                os.remove(path)
+            self.folder.remove(f"{name}.lock")
 
 
 class FeatureStore:
-    """Catalog (a JSON file the driver keeps under ``root_path``) and artifacts (under ``artifact_uri``, any URI Spark can write; default: the root)."""
+    """Catalog (a JSON file), locks and artifacts (under ``artifact_uri``, default: the root), in any file system Spark can write. Without ``root_path`` and
+    the variable LOOMTIME_FEATURE_STORE it lies in the driver's home folder, which does for a local master only."""
 
     def __init__(self, spark: SparkSession, root_path: str | None = None, catalog_filename: str = "catalog.json", default_storage_format: str = "parquet",
                  artifact_uri: str | None = None, locking: bool = True, lock_timeout: float = 60.0):
         self.spark = spark
-        self.root = root_path or os.environ.get("LOOMTIME_FEATURE_STORE") or os.path.join(os.path.expanduser("~"), ".loomtime_features")
-        os.makedirs(self.root, exist_ok=True)
-        self.catalog = os.path.join(self.root, catalog_filename)
+        self.root = str(root_path or os.environ.get("LOOMTIME_FEATURE_STORE") or "")
+        if not self.root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("a cluster's feature store needs a root_path that all machines see")
+            self.root = os.path.join(os.path.expanduser("~"), ".loomtime_features")
+        self.folder, self.catalog = Folder(spark, self.root), catalog_filename
         if default_storage_format not in ("parquet", "orc"):
             raise ValueError("storage is 'parquet' or 'orc'")
         self.storage, self.artifacts = default_storage_format, artifact_uri or self.root
-        self.locks = FileLockManager(os.path.join(self.root, "locks"), lock_timeout) if locking else None
+        self.locks = FileLockManager(Folder(spark, f"{self.root}/locks"), lock_timeout) if locking else None
         self.registry: dict[str, _Registered] = {}
 
     def register(self, name: str, transform: Callable[..., DataFrame], default_kwargs: dict | None = None, description: str = "", tags: Sequence[str] = (),
@@ -118,16 +158,11 @@ class FeatureStore:
         return self
 
     def _entries(self) -> list[FeatureSetMetadata]:
-        if not os.path.exists(self.catalog):
-            return []
-        with open(self.catalog, encoding="utf-8") as f:
-            return [FeatureSetMetadata(**e) for e in json.load(f)]
+        text = self.folder.read(self.catalog)
+        return [FeatureSetMetadata(**e) for e in json.loads(text)] if text else []
 
     def _save(self, entries: list[FeatureSetMetadata]) -> None:
-        part = f"{self.catalog}.{uuid.uuid4().hex}"
-        with open(part, "w", encoding="utf-8") as f:
-            json.dump([asdict(e) for e in entries], f, indent=1, default=str)
-        os.replace(part, self.catalog)
+        self.folder.write(self.catalog, json.dumps([asdict(e) for e in entries], indent=1, default=str))
 
     def _find(self, name: str, version: str | None = None) -> FeatureSetMetadata:
         found = [e for e in self._entries() if e.name == name and version in (None, e.version)]
@@ -188,7 +223,8 @@ class FeatureStore:
         if delete_artifact:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(e.artifact_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        self._save([x for x in self._entries() if x != e])
+        with self.locks.acquire("catalog") if self.locks else contextlib.nullcontext():
+            self._save([x for x in self._entries() if x != e])
 
     def assemble(self, specs: Sequence[str | tuple[str, str]], join_keys: Sequence[str], how: str = "left") -> DataFrame:
         """Feature sets joined on keys; columns that clash get the suffix _version."""
@@ -224,3 +260,11 @@ def log_feature_set(result: FeatureSetResult, log: Callable[[str, object], None]
     """A feature set's metadata handed to a tracking client's log function, entry by entry."""
     for k, v in asdict(result.metadata).items():
         log(k, v)
+
+
+def load_feature_set(store: FeatureStore, tracked: dict[str, object]) -> FeatureSetResult:
+    """The feature set that a tracking client's entries (as ``log_feature_set`` wrote them) name, if the store still has that state of it."""
+    found = store.load(str(tracked["name"]), str(tracked["version"]))
+    if found.metadata.cache_key != tracked.get("cache_key", found.metadata.cache_key):
+        raise KeyError(f"the store's {tracked['name']!r} of version {tracked['version']!r} is not the one that was tracked")
+    return found
