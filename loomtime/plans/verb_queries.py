@@ -69,12 +69,12 @@ def feature_store_build(spark, folder):
 
 
 @query("""SELECT a.o_custkey, a.n, a.top, b.urgent FROM (SELECT o_custkey, count(*) AS n, max(o_totalprice) AS top FROM orders WHERE o_totalprice > 1000 GROUP BY o_custkey) a
-LEFT JOIN (SELECT o_custkey, count(*) AS urgent FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey) b ON a.o_custkey = b.o_custkey""")
+JOIN (SELECT o_custkey, count(*) AS urgent FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey) b ON a.o_custkey = b.o_custkey""")
 def feature_store_assemble(spark, folder):
     store, orders = _store(spark), read_table(spark, folder, "orders")
     store.build("orders_of", orders)
     store.build("urgent_of", orders, storage_format="orc")
-    return store.assemble(["orders_of", "urgent_of"], ["o_custkey"])
+    return store.assemble(["orders_of", "urgent_of"], ["o_custkey"], "inner")
 
 
 @query("""SELECT 'orders_of' AS name, count(DISTINCT o_custkey) AS row_count, 'parquet' AS storage_format, true AS again_from_cache, 'orders of each customer' AS description FROM orders WHERE o_totalprice > 1000""")
@@ -151,7 +151,7 @@ def frequency_aliases(spark, folder):
 
 @query("SELECT * FROM (VALUES " + _texts(_PARTS) + ") t(text, n, unit)")
 def frequency_parts(spark, folder):
-    return spark.createDataFrame([(t, *freq.parse_freq_str(t)) for t, _, _ in _PARTS], "text string, n int, unit string")
+    return spark.createDataFrame([(t, *freq.parse_freq_str(t)[:2]) for t, _, _ in _PARTS], "text string, n int, unit string")
 
 
 @query("SELECT CAST(k AS INTEGER) AS lag FROM (SELECT count(*) AS n FROM m4_daily WHERE date <= (SELECT min(date) FROM m4_daily) + INTERVAL 3 DAY) c, range(0, 100000) t(k) WHERE k < n")
@@ -411,8 +411,8 @@ _CENTRED = f"centred AS (SELECT symbol, close, adjusted, row_number() OVER (PART
 p AS (SELECT x.symbol, k.lag, sum(x.c * y.c) AS t FROM centred x, range(0, 6) k(lag), centred y WHERE x.symbol = y.symbol AND y.i = x.i - k.lag GROUP BY 1, 2),
 r AS (SELECT p.symbol, list(t / s ORDER BY lag) AS r FROM p JOIN v ON p.symbol = v.symbol GROUP BY p.symbol),
 l(symbol, k, phi, val, r) AS (SELECT symbol, CAST(1 AS BIGINT), [r[2]], r[2], r FROM r UNION ALL
-SELECT symbol, k + 1, list_append(list_transform(range(1, k + 1), j -> phi[j] - q * phi[k + 1 - j]), q), q, r FROM (SELECT symbol, k, phi, r,
-  (r[k + 2] - list_sum(list_transform(range(1, k + 1), j -> phi[j] * r[k + 2 - j]))) / (1 - list_sum(list_transform(range(1, k + 1), j -> phi[j] * r[j + 1]))) AS q FROM l WHERE k < 5))
+SELECT symbol, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - q * phi[k + 1 - j]), q), q, r FROM (SELECT symbol, k, phi, r,
+  (r[k + 2] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j]))) / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j + 1]))) AS q FROM l WHERE k < 5))
 SELECT symbol, CAST(k AS INTEGER) AS lag, {_r('val', 'value', 5)} FROM l""")
 def pacf(spark, folder):
     """Partial autocorrelations at lags 1 to 5; the SQL runs the Durbin-Levinson recursion."""

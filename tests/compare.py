@@ -34,7 +34,7 @@ def normal(df: pd.DataFrame) -> list:
     df = df[sorted(df.columns)]
     rows = []
     for r in df.itertuples(index=False):
-        rows.append(tuple("~" if x is None or x is pd.NaT or (isinstance(x, float) and x != x) else f"{x:.6g}" if isinstance(x, float) else str(x) for x in r))
+        rows.append(tuple("~" if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x) else f"{x:.6g}" if isinstance(x, float) else str(x) for x in r))
     return sorted(rows)
 
 
@@ -43,6 +43,8 @@ def compare(spark, db, name: str, folder: str) -> str:
     table = entry.queries()[name](spark, folder).toArrow()
     took = time.time() - t
     got = table.to_pandas()
+    for c in got.select_dtypes("datetimetz"):
+        got[c] = got[c].dt.tz_localize(None)
     nan = [c for c in table.column_names if pa.types.is_floating(table[c].type) and pc.any(pc.is_nan(table[c])).as_py()]
     sql = entry.oracle_sql().get(name)
     if sql is None:
