@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtime.functions.select import Panel, unpack
-from loomtime.operators.ranges import running_total
+from loomtime.operators.ranges import running_total, sorted_once, whole_partition
 from loomtime.operators.rolling import correlation
-from loomtime.runtime import is_temporal
+from loomtime.runtime import checkpointed, is_temporal
 
 
 def _q(name: str):
@@ -70,11 +71,10 @@ def binarize(data: DataFrame | Panel, n_bins: int = 4, thresh_infreq: float = 0.
     return df.select(*new)
 
 
-def correlate(data: DataFrame | Panel, target: str, method: str = "pearson", max_kendall: int = 5000) -> DataFrame:
+def correlate(data: DataFrame | Panel, target: str, method: str = "pearson") -> DataFrame:
     """(feature, bin, correlation) of every column with the target, strongest first; name__bin is split.
 
-    Constant columns have a null correlation. Kendall's tau-b compares all pairs of rows, so it is counted on the table of distinct value pairs, of which more
-    than ``max_kendall`` raise ValueError.
+    Constant columns have a null correlation. Kendall's tau-b is exact and counted by sorting, not pair by pair.
     """
     df, _ = unpack(data)
     if target not in df.columns:
@@ -87,7 +87,7 @@ def correlate(data: DataFrame | Panel, target: str, method: str = "pearson", max
     if method == "spearman":
         d = average_ranks(d)
     if method == "kendall":
-        found = [(c, kendall_tau(d, f"c{i}", f"c{t}", max_kendall)) for i, c in enumerate(names)]
+        found = [(c, kendall_tau(d, f"c{i}", f"c{t}")) for i, c in enumerate(names)]
     else:
         seen = d.agg(*[correlation(f"c{i}", f"c{t}").alias(f"r{i}") for i in range(len(names))]).first()
         found = [(c, None if seen[i] is None or seen[i] != seen[i] else float(seen[i])) for i, c in enumerate(names)]
@@ -108,21 +108,70 @@ def average_ranks(d: DataFrame) -> DataFrame:
     return out.select(*d.columns)
 
 
-def kendall_tau(d: DataFrame, a: str, b: str, most: int) -> float | None:
-    pairs = d.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    got = pairs.limit(most + 1).toPandas()
-    if len(got) > most:
-        raise ValueError(f"more than max_kendall={most} different value pairs")
-    if got.empty:
+def inversions(y: np.ndarray, weight: np.ndarray) -> float:
+    """Weighted number of pairs whose first has the greater y, by radix halves of the ranks: a level counts the pairs it tells apart."""
+    _, r = np.unique(y, return_inverse=True)
+    w = weight.astype(float)
+    total = 0.0
+    for b in range(int(r.max(initial=0)).bit_length() - 1, -1, -1):
+        above = r >> (b + 1)
+        one = (r >> b) & 1
+        before = np.cumsum(w * one)
+        start = np.flatnonzero(np.r_[True, np.diff(above) != 0])
+        base = np.repeat(np.r_[0.0, before][start], np.diff(np.r_[start, len(r)]))
+        total += float((w * (before - base))[one == 0].sum())
+        order = np.argsort(r >> b, kind="stable")
+        r, w = r[order], w[order]
+    return total
+
+
+def kendall_tau(d: DataFrame, a: str, b: str, part_rows: int = 1_000_000) -> float | None:
+    """Tau-b of two columns, exact: distinct value pairs are sorted by (a, b) over the cluster and their discordant pairs counted within partitions, then
+    between partitions by blocks of b, then within blocks. The driver gets the counts of a partition in a block, for parts of some ``part_rows`` rows."""
+    from pyspark import TaskContext
+
+    counts = d.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    pairs = checkpointed(counts)
+    same = lambda *by: pairs.groupBy(*by).agg(F.sum("n").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0.0
+    seen = pairs.agg(F.sum("n"), F.count(F.lit(1))).first()
+    if not seen[0]:
         return None
-    x, y, n = (got[c].to_numpy(float) for c in "xyn")
-    sx, sy, w = np.sign(x[:, None] - x), np.sign(y[:, None] - y), n[:, None] * n
-    balance = (sx * sy * w).sum() / 2
-    total = n.sum() * (n.sum() - 1) / 2
-    same_x = total - (np.abs(sx) * w).sum() / 2
-    same_y = total - (np.abs(sy) * w).sum() / 2
-    scale = np.sqrt((total - same_x) * (total - same_y))
-    return float(balance / scale) if scale > 0 else None
+    total, x, y, both = seen[0] * (seen[0] - 1) / 2, same("x"), same("y"), same("x", "y")
+    parts = max(1, -(-seen[1] // part_rows))
+    ordered = sorted_once(pairs, "x", "y", parts=parts)
+    edges = sorted({float(v) for v in pairs.agg(F.percentile_approx("y", [k / parts for k in range(1, parts)] or [0.5])).first()[0]}) if parts > 1 else []
+
+    def within(batches):
+        t = whole_partition(batches)
+        if t is not None:
+            y, n = t["y"].to_numpy(), t["n"].to_numpy()
+            block = np.searchsorted(edges, y, "right")
+            held, at = np.unique(block, return_inverse=True)
+            sums = np.bincount(at, n)
+            here = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([here] * (len(held) + 1), pa.int32()), pa.array(np.r_[-1, held].astype(np.int32)), pa.array(np.r_[inversions(y, n), sums])], names=["p", "block", "n"])
+
+    found = ordered.mapInArrow(within, "p int, block int, n double").toPandas()
+    discordant = found[found.block < 0].n.sum()
+    if parts > 1:
+        table = found[found.block >= 0].pivot_table(index="p", columns="block", values="n", fill_value=0.0).sort_index().sort_index(axis=1).to_numpy()
+        later_below = np.cumsum(table[::-1], 0)[::-1] - table  # of later partitions
+        lower = np.cumsum(later_below, 1) - later_below  # and lower blocks
+        discordant += float((table * lower).sum())
+
+        def number(batches):
+            for t in batches:
+                if t.num_rows:
+                    y = t.column("y").to_numpy()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, y, "right").astype(np.int32)), pa.array(np.full(len(y), TaskContext.get().partitionId(), np.int32)), t.column("y"), t.column("n")], names=["block", "p", "y", "n"])
+
+        def across(part: pa.Table) -> pa.Table:
+            return pa.table({"n": [inversions(part["y"].to_numpy(), part["n"].to_numpy())]})
+
+        marked = ordered.select("y", "n").mapInArrow(number, "block int, p int, y double, n double").groupBy("block", "p", "y").agg(F.sum("n").alias("n"))
+        discordant += marked.groupBy("block").applyInArrow(lambda t: across(t.sort_by([("p", "ascending"), ("y", "ascending")])), "n double").agg(F.sum("n")).first()[0] or 0.0
+    scale = np.sqrt((total - x) * (total - y))
+    return float((total - x - y + both - 2 * discordant) / scale) if scale > 0 else None
 
 
 def correlation_funnel(data: DataFrame, target: str, n_bins: int = 4, thresh_infreq: float = 0.01, method: str = "pearson") -> DataFrame:

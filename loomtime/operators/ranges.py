@@ -139,7 +139,7 @@ def running_total(df: DataFrame, key: str, amount: str, name: str, parts: int |
     holding it: partitions of the sorted table add up their own rows, and get the totals of those before from one number each."""
     from pyspark import TaskContext
 
-    ordered = sorted_once(df, key, parts=parts)
+    ordered = sorted_once(df, key, parts=parts or partitions(df.sparkSession))  # rows pass through, a partition of any size will do
 
     def total(batches):
         n = sum(float(np.nansum(b.column(b.schema.get_field_index(amount)).to_numpy(zero_copy_only=False).astype(float))) for b in batches if b.num_rows)

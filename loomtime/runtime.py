@@ -44,11 +44,11 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def range_partitions(df: DataFrame, each: int = 8_000_000) -> int:
-    """Partitions for a global sort whose tasks hold a partition in memory: the session's number, or more (at most eight times it) where
-    partitions would pass ``each`` bytes of estimated size."""
+def range_partitions(df: DataFrame, each: int = 32_000_000) -> int:
+    """Partitions for a global sort whose tasks hold a partition in memory: the session's number, or more where partitions would pass ``each`` bytes of
+    estimated size. The planner takes a join for the product of its sides, so its estimate counts up to 64 times the session's number."""
     asked = partitions(df.sparkSession)
-    return max(asked, min(estimated_bytes(df) // each, 8 * asked))
+    return max(asked, min(estimated_bytes(df) // each, 64 * asked))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -521,3 +521,17 @@ def test_what_the_driver_sees_does_not_grow_with_partitions(spark, parts, monkey
     rolling.augment_ewm(group(df, "id"), "date", "value", alpha=0.001, adjust=False)
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert sum(seen) <= 1
+
+
+def test_kendall_in_parts_is_that_over_all_pairs(spark):
+    rng = np.random.default_rng(31)
+    pdf = pd.DataFrame({"a": rng.integers(0, 60, 3000).astype(float), "b": rng.normal(size=3000).round(1)})
+    pdf["b"] += pdf.a / 20
+    d = spark.createDataFrame(pdf)
+    u, v = pdf.a.to_numpy(), pdf.b.to_numpy()
+    su, sv = np.sign(u[:, None] - u), np.sign(v[:, None] - v)
+    want = (su * sv).sum() / np.sqrt(np.abs(su).sum() * np.abs(sv).sum())
+    for rows in (1_000_000, 300, 40):
+        assert funnel.kendall_tau(d, "a", "b", rows) == pytest.approx(want, abs=1e-12)
+    y, w = rng.integers(0, 9, 50), rng.integers(1, 4, 50)
+    assert funnel.inversions(y, w) == sum(w[i] * w[j] for i in range(50) for j in range(i + 1, 50) if y[i] > y[j])
