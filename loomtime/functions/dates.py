@@ -65,7 +65,36 @@ def us_holidays(year: int) -> list[tuple[dt.date, str]]:
     return sorted(out)
 
 
-COUNTRIES = {"UnitedStates": us_holidays, "US": us_holidays, "USA": us_holidays, "United States": us_holidays}
+def easter(year: int) -> dt.date:
+    """Easter Sunday of the Gregorian calendar, by the anonymous algorithm published in 1876."""
+    golden, century = year % 19, year // 100
+    leap = (19 * golden + century - century // 4 - (century - (century + 8) // 25 + 1) // 3 + 15) % 30
+    day = (32 + 2 * (century % 4) + 2 * (year % 100 // 4) - leap - year % 100 % 4) % 7
+    back = (golden + 11 * leap + 22 * day) // 451
+    n = leap + day - 7 * back + 114
+    return dt.date(year, n // 31, n % 31 + 1)
+
+
+def _calendar(fixed: list[tuple[int, int, str, int]], moving: list[tuple[int, str]]):
+    """Rule of holidays on fixed days (month, day, name, first year) and days after Easter Sunday."""
+
+    def rule(year: int) -> list[tuple[dt.date, str]]:
+        out = [(dt.date(year, m, d), name) for m, d, name, since in fixed if year >= since]
+        return sorted(out + [(easter(year) + dt.timedelta(n), name) for n, name in moving])
+
+    return rule
+
+
+# National holidays of countries whose rules need no substitute days
+german_holidays = _calendar([(1, 1, "Neujahr", 0), (5, 1, "Erster Mai", 0), (10, 3, "Tag der Deutschen Einheit", 1990), (12, 25, "Erster Weihnachtstag", 0), (12, 26, "Zweiter Weihnachtstag", 0)],
+                            [(-2, "Karfreitag"), (1, "Ostermontag"), (39, "Christi Himmelfahrt"), (50, "Pfingstmontag")])
+french_holidays = _calendar([(1, 1, "Jour de l'an", 0), (5, 1, "Fête du Travail", 1919), (5, 8, "Fête de la Victoire", 1982), (7, 14, "Fête nationale", 0), (8, 15, "Assomption", 0), (11, 1, "Toussaint", 0), (11, 11, "Armistice", 1922),
+                             (12, 25, "Noël", 0)], [(1, "Lundi de Pâques"), (39, "Ascension"), (50, "Lundi de Pentecôte")])
+italian_holidays = _calendar([(1, 1, "Capodanno", 0), (1, 6, "Epifania del Signore", 1986), (4, 25, "Festa della Liberazione", 1946), (5, 1, "Festa dei Lavoratori", 1946), (6, 2, "Festa della Repubblica", 2001), (8, 15, "Assunzione della Vergine", 0),
+                              (11, 1, "Tutti i Santi", 0), (12, 8, "Immacolata Concezione", 0), (12, 25, "Natale", 0), (12, 26, "Santo Stefano", 1947)], [(0, "Pasqua di Resurrezione"), (1, "Lunedì dell'Angelo")])
+
+COUNTRIES = {"Germany": german_holidays, "DE": german_holidays, "France": french_holidays, "FR": french_holidays, "Italy": italian_holidays, "IT": italian_holidays,
+             "UnitedStates": us_holidays, "US": us_holidays, "USA": us_holidays, "United States": us_holidays}
 
 
 @lru_cache

@@ -43,26 +43,30 @@ def get_timeseries_signature(data: DataFrame, date_column: str) -> DataFrame:
     return augment_timeseries_signature(data.select(date_column), date_column)
 
 
-def augment_holiday_signature(data: DataFrame | Panel, date_column: str, country_name: str = "UnitedStates") -> DataFrame:
+def augment_holiday_signature(data: DataFrame | Panel, date_column: str, country_name: str = "UnitedStates", calendar: DataFrame | None = None) -> DataFrame:
     """``data`` with is_holiday, before_holiday (the next day is one), after_holiday and holiday_name ('' on other days).
 
-    Only holidays within the table's own first and last day count, so the edges' neighbours outside read 0. Null dates read 0. The calendar is a table of
-    a few thousand fixed rows, so it is sent to the executors.
+    ``calendar`` (holiday_date, holiday_name) takes the place of a country's rules; several names of a day are put together. Only holidays within the table's own first and last day count, so the edges' neighbours outside read 0. Null dates read 0. A country's
+    calendar is a table of a few thousand fixed rows, so it is sent to the executors; one given is joined as its size allows.
     """
     df, _ = unpack(data)
     check_date(df, date_column)
     spark = df.sparkSession
     day = F.to_date(date_column)
     span = df.agg(F.min(day).alias("a"), F.max(day).alias("b")).first()
-    cal = holiday_table(spark, country_name)
+    if calendar is None:
+        cal, sent = holiday_table(spark, country_name), F.broadcast
+    else:
+        days = calendar.where("holiday_date IS NOT NULL").groupBy(F.to_date("holiday_date").alias("holiday_date"))
+        cal, sent = days.agg(F.array_join(F.array_sort(F.collect_set("holiday_name")), ", ").alias("holiday_name")), lambda x: x
     if span["a"] is not None:
         cal = cal.where(F.col("holiday_date").between(F.lit(span["a"]), F.lit(span["b"])))
     out = df
     for name, shift in (("is_holiday", 0), ("before_holiday", 1), ("after_holiday", -1)):
         mark = cal.select(F.date_sub("holiday_date", shift).alias(f"__d{shift}"), F.lit(1).alias(name), *([F.col("holiday_name")] if shift == 0 else []))
-        out = out.join(F.broadcast(mark), day == F.col(f"__d{shift}"), "left").drop(f"__d{shift}")
+        out = out.join(sent(mark), day == F.col(f"__d{shift}"), "left").drop(f"__d{shift}")
     return out.select(*df.columns, *[F.coalesce(n, F.lit(0)).alias(n) for n in ("is_holiday", "before_holiday", "after_holiday")], F.coalesce("holiday_name", F.lit("")).alias("holiday_name"))
 
 
-def get_holiday_signature(data: DataFrame, date_column: str, country_name: str = "UnitedStates") -> DataFrame:
-    return augment_holiday_signature(data.select(date_column), date_column, country_name)
+def get_holiday_signature(data: DataFrame, date_column: str, country_name: str = "UnitedStates", calendar: DataFrame | None = None) -> DataFrame:
+    return augment_holiday_signature(data.select(date_column), date_column, country_name, calendar)

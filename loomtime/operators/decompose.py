@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -18,19 +18,32 @@ from loomtime.operators.frequency import local_period
 from loomtime.operators.series import grouped, whole_series
 
 
-def loess(y: np.ndarray, span: int, degree: int, weight: np.ndarray | None = None, first: int = 0, count: int | None = None) -> np.ndarray:
-    """Local regression of values at 0..n-1 (of each row of a table), evaluated at ``count`` whole positions from ``first`` on, with tricube and
-    given weights."""
-    table = np.atleast_2d(y)
-    n = table.shape[1]
-    count = n if count is None else count
+def _build(n: int, span: int, first: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.arange(first, first + count, dtype=float)
     q = min(span, n)
     low = np.clip(np.round(at).astype(int) - (q - 1) // 2, 0, n - q)
     near = low[:, None] + np.arange(q)
     d = near - at[:, None]
     reach = np.maximum(np.abs(d).max(1, keepdims=True) + max(0, span - n) / 2, 1e-9)
-    tricube = (1 - np.minimum(np.abs(d) / (reach * 1.0000001), 1) ** 3) ** 3
+    return near, d, (1 - np.minimum(np.abs(d) / (reach * 1.0000001), 1) ** 3) ** 3
+
+
+_kept = lru_cache(64)(_build)
+
+
+def _neighbourhoods(n: int, span: int, first: int, count: int):
+    """(rows, distances, tricube weights) of the neighbours of each position; the same for every series of a length, so small ones are kept."""
+    return (_kept if count * min(span, n) <= 200_000 else _build)(n, span, first, count)
+
+
+def loess(y: np.ndarray, span: int, degree: int, weight: np.ndarray | None = None, first: int = 0, count: int | None = None) -> np.ndarray:
+    """Local regression of values at 0..n-1 (of each row of a table), evaluated at ``count`` whole positions from ``first`` on, with tricube and
+    given weights."""
+    table = np.atleast_2d(y)
+    n = table.shape[1]
+    count = n if count is None else count
+    near, d, tricube = _neighbourhoods(n, span, first, count)
+    q = near.shape[1]
     out = np.empty((len(table), count))
     step = max(1, 4_000_000 // max(1, q * len(table)))
     for a in range(0, count, step):

@@ -37,6 +37,29 @@ def pl_quantile(quantile: float = 0.5, interpolation: str = "midpoint", **_) ->
     return "quantile", Quantile(quantile, interpolation)
 
 
+@dataclass(frozen=True)
+class Pair:
+    """Correlation ('corr') or sample covariance ('cov') with another column."""
+
+    kind: str
+    other: str
+
+
+def pair(kind: str, other: str) -> tuple[str, Pair]:
+    """Function of two columns for a rolling or expanding window: pair('corr', 'high'). The names 'corr' and 'cov' alone are those of a column with itself."""
+    if kind not in ("corr", "cov"):
+        raise ValueError("a pair's function is 'corr' or 'cov'")
+    return f"{kind}_{other}", Pair(kind, other)
+
+
+def _paired(df: DataFrame, x: Column, p: Pair, w, least: int) -> Column:
+    y = numeric(df, p.other)
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    value = F.try_divide(F.covar_pop(x, y).over(w), F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w)) if p.kind == "corr" else F.covar_samp(x, y).over(w)
+    return _guarded(value, x, w, max(least, 2))
+
+
 def _quantile(x: Column, w, q: Quantile) -> Column:
     if q.interpolation == "linear":
         return F.percentile(x, q.q).over(w)
@@ -88,6 +111,14 @@ def _guarded(value: Column, x: Column, w, least: int) -> Column:
     return F.when(F.count(x).over(w) >= least, value) if least > 0 else value
 
 
+def _order_statistic(f) -> bool:
+    return isinstance(f, Quantile) or (isinstance(f, str) and f in ("median", "quantile"))
+
+
+def _moving_quantile(windows, f):
+    return windows.quantile(f.q, interpolation=f.interpolation) if isinstance(f, Quantile) else windows.median()
+
+
 def _as_pandas(f):
     """A function for pandas' windows: quantiles as functions of an array."""
     if isinstance(f, Quantile) or f == "quantile":
@@ -129,8 +160,12 @@ def augment_rolling(data: DataFrame | Panel, date_column: str, value_column, win
             x = numeric(df, v)
             for label, f in _functions(window_func):
                 name = f"{v}_rolling_{label}_win_{size}"
-                if hot:
+                if isinstance(f, Pair):
+                    new[name] = _paired(df, x, f, w, least)
+                elif hot:
                     custom.append((name, v, _as_pandas(f), size, least))
+                elif not center and _order_statistic(f):  # the window expression would count a frame's values anew for each row
+                    custom.append((name, v, f, size, least))
                 elif isinstance(f, str) and f in NATIVE:
                     new[name] = _guarded(NATIVE[f](x, w), F.lit(1) if f == "count" else x, w, least)
                 elif isinstance(f, Quantile):
@@ -153,7 +188,13 @@ def _custom(df, keys, date, tie, custom, center: bool) -> DataFrame:
         return whole_series(df, keys, [date, *ties], [T.StructField(n, T.DoubleType()) for n, *_ in custom], whole)
 
     def kernel(body: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({n: body.groupby("__s", sort=False)[v].transform(_pandas_window(f, size, least, False)) for n, v, f, size, least in custom})
+        new = {}
+        for n, v, f, size, least in custom:
+            if _order_statistic(f):  # sorted windows move on by a row each; series lie one after the other, so rows come back in order
+                new[n] = _moving_quantile(body.groupby("__s", sort=False)[v].rolling(size, min_periods=max(least, 0)), f).to_numpy()
+            else:
+                new[n] = body.groupby("__s", sort=False)[v].transform(_pandas_window(f, size, least, False)).to_numpy()
+        return pd.DataFrame(new)
 
     return series_map(df, keys, [date, *ties], inputs, [(n, "double") for n, *_ in custom], kernel, max(size for *_, size, _ in custom) - 1)
 
@@ -170,10 +211,10 @@ def augment_expanding(data: DataFrame | Panel, date_column: str, value_column, w
         x = numeric(df, v)
         for label, f in _functions(window_func):
             name = f"{v}_expanding_{label}"
-            if isinstance(f, str) and f in NATIVE:
+            if isinstance(f, Pair):
+                new[name] = _paired(df, x, f, w, least)
+            elif isinstance(f, str) and f in NATIVE and not _order_statistic(f):
                 new[name] = _guarded(NATIVE[f](x, w), x, w, least)
-            elif isinstance(f, Quantile):
-                new[name] = _guarded(_quantile(x, w, f), x, w, least)
             else:
                 custom.append((name, v, f))
     out = df.withColumns(new)
@@ -181,7 +222,11 @@ def augment_expanding(data: DataFrame | Panel, date_column: str, value_column, w
         ties = [order_by] if isinstance(order_by, str) else list(order_by or ())
 
         def whole(part: pd.DataFrame) -> pd.DataFrame:
-            return part.assign(**{n: _pandas_window(f, None, least, False)(part[v].astype(float)) for n, v, f in custom})
+            made = {}
+            for n, v, f in custom:
+                x = part[v].astype(float)
+                made[n] = _moving_quantile(x.expanding(min_periods=max(least, 0)), f) if _order_statistic(f) else _pandas_window(f, None, least, False)(x)
+            return part.assign(**made)
 
         out = whole_series(out, keys, [date_column, *ties], [T.StructField(n, T.DoubleType()) for n, *_ in custom], whole)
     return out

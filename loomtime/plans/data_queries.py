@@ -19,6 +19,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_filled(spark, folder).select("row_no", F.explode(marks).alias("field"))
 
 
+def p2_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """What was there comes through the filling unchanged; null here stands for what was filled."""
+    kept = lambda c: F.when(~F.col(f"{c}_filled"), F.col(c)).alias(c)
+    return p2_filled(spark, folder).select("row_no", "id", kept("value"), kept("category"))
+
+
 def p3_grid(spark: SparkSession, folder: str) -> DataFrame:
     """Every source and hour with its value, observed or filled."""
     return gridfill.regularize(read_table(spark, folder, "m4_hourly"))
@@ -49,6 +55,10 @@ def p4_stuck(spark: SparkSession, folder: str) -> DataFrame:
     return p4_flags(spark, folder).where("stuck").select("row_no")
 
 
+def p4_impossible(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_flags(spark, folder).where("impossible").select("row_no")
+
+
 def _sales(spark: SparkSession, folder: str) -> DataFrame:
     lines = read_table(spark, folder, "bike_sales_sample").withColumn("category_1", F.lower(F.trim("category_1")))
     return trailing.distinct_lines(lines, ("order_id", "order_line"), "loaded_at", ("order_date", "category_1", "total_price"))
@@ -67,7 +77,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (p2_filled, p2_found, p3_grid, p3_found, p3_hours, p4_flags, p4_found, p4_stuck, p5_totals, p5_found)
+    own = (p2_filled, p2_found, p2_kept, p3_grid, p3_found, p3_hours, p4_flags, p4_found, p4_stuck, p4_impossible, p5_totals, p5_found)
     return {f.__name__: f for f in own}
 
 
@@ -81,6 +91,12 @@ SELECT row_no, 'value' AS field FROM t LEFT JOIN r ON t.id IS NOT DISTINCT FROM
 UNION ALL
 SELECT row_no, 'category' FROM t WHERE category IS NULL OR NOT regexp_matches(category, '[\\p{{L}}\\p{{N}}]') OR lower(trim(category)) IN ({_TEXT})"""
 
+_P2_KEPT = f"""
+WITH t AS (SELECT row_no, id, CASE WHEN NOT isnan(value) THEN value END AS v, category FROM m4_daily),
+r AS (SELECT id, min(v) AS lo, max(v) AS hi FROM t WHERE v NOT IN ({_NUMBERS}) GROUP BY id)
+SELECT row_no, t.id, CASE WHEN v NOT IN ({_NUMBERS}) OR v BETWEEN lo AND hi THEN v END AS value,
+CASE WHEN regexp_matches(category, '[\\p{{L}}\\p{{N}}]') AND lower(trim(category)) NOT IN ({_TEXT}) THEN category END AS category FROM t LEFT JOIN r ON t.id IS NOT DISTINCT FROM r.id"""
+
 _P3 = """
 WITH r AS (SELECT DISTINCT id, date, value, date_trunc('hour', date) AS h FROM m4_hourly WHERE id IS NOT NULL AND date IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)),
 o AS (SELECT id, h, count(*) AS n, avg(value) AS v FROM r GROUP BY id, h)"""
@@ -96,6 +112,14 @@ k AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY date, value) AS run FR
 c AS (SELECT *, count(*) OVER (PARTITION BY id, run) AS long FROM k)
 SELECT row_no FROM m4_hourly m JOIN c ON m.id = c.id AND m.date = c.date AND m.value = c.value WHERE long >= 8"""
 
+_UNITS = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in spikes.UNITS.items()) + ") u(name, unit)"
+
+_P4_IMPOSSIBLE = f"""
+WITH r AS (SELECT row_no, id, value, u.unit FROM m4_hourly LEFT JOIN {_UNITS} ON regexp_replace(lower(m4_hourly.unit), '[\\s.°_-]', '', 'g') = u.name WHERE id IS NOT NULL AND date IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)),
+k AS (SELECT id, unit, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC) AS k FROM r WHERE unit IS NOT NULL GROUP BY id, unit)
+SELECT row_no FROM r LEFT JOIN k ON r.id = k.id AND k.k = 1 WHERE (k.unit = 'percent' AND (value < 0 OR value > 100)) OR (k.unit = 'ph' AND (value < 0 OR value > 14)) OR (k.unit = 'celsius' AND value < -273.15)
+OR (k.unit IN ('kelvin', 'count', 'lux', 'kwh') AND value < 0)"""
+
 _P5 = """
 WITH l AS (SELECT order_id, order_line, loaded_at, CAST(order_date AS DATE) AS d, lower(trim(category_1)) AS category_1, total_price AS v FROM bike_sales_sample),
 u AS (SELECT category_1, d, v FROM (SELECT *, row_number() OVER (PARTITION BY order_id, order_line ORDER BY loaded_at DESC, d DESC NULLS LAST, category_1 DESC NULLS LAST, v DESC NULLS LAST) AS k FROM l) WHERE k = 1),
@@ -113,6 +137,8 @@ SELECT category_1, strftime(d, '%Y-%m-%d') AS day, lines, round(s7, 2) AS total_
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _P2,
+        "p2_kept": _P2_KEPT,
+        "p4_impossible": _P4_IMPOSSIBLE,
         "p3_found": _P3_FOUND,
         "p3_hours": _P3 + " SELECT id, strftime(h, '%Y-%m-%d %H:%M:%S') AS hour_start, n AS n_readings, round(v + 1e-9, 6) AS value FROM o",
         "p4_stuck": _P4_STUCK,

@@ -454,7 +454,9 @@ def ts_summary(spark, folder):
     return _round(out.select(*keep), "diff_mean_seconds", digits=3)
 
 
-@query("SELECT '1W' AS seasonal_period, '1Q' AS trend_period")
+@query(f"""WITH {DAILY}, s AS (SELECT epoch(date) - lag(epoch(date)) OVER (ORDER BY date) AS st FROM (SELECT DISTINCT date FROM daily)), m AS (SELECT median(st) AS m FROM s),
+u AS (SELECT CASE WHEN m < 60 THEN 'S' WHEN m < 3600 THEN 'T' WHEN m < 86400 THEN 'H' WHEN m = 86400 THEN 'D' WHEN m < 604800 THEN 'M' WHEN m < 2419200 THEN 'W' WHEN m < 7776000 THEN 'M' WHEN m < 31536000 THEN 'Q' ELSE 'Y' END AS u FROM m)
+SELECT s AS seasonal_period, t AS trend_period FROM u JOIN (VALUES ('S', '1H', '12H'), ('T', '1D', '14D'), ('H', '1D', '1M'), ('D', '1W', '1Q'), ('W', '1Q', '1Y'), ('M', '1Y', '5Y'), ('Q', '1Y', '10Y'), ('Y', '5Y', '30Y')) k(u, s, t) USING (u)""")
 def seasonal_and_trend_frequency(spark, folder):
     rows = daily(spark, folder).select("date").distinct()
     return spark.createDataFrame([(frequency.get_seasonal_frequency(rows, "date"), frequency.get_trend_frequency(rows, "date"))], "seasonal_period string, trend_period string")
@@ -570,19 +572,19 @@ def correlation_funnel(spark, folder):
 
 
 _CV = """WITH b AS (SELECT min(o_orderdate) AS a, max(o_orderdate) + INTERVAL 1 DAY AS z FROM orders),
-s AS (SELECT CAST(k + 1 AS INTEGER) AS split, z - to_days(CAST(28 * k AS INTEGER)) AS fe, a FROM b, range(0, 5) t(k)),
+s AS (SELECT CAST(k + 1 AS INTEGER) AS split, z - to_days(CAST(28 * k AS INTEGER)) AS fe, a FROM b, range(0, 1000) t(k)),
 c AS (SELECT split, fe - INTERVAL 128 DAY AS train_start, fe - INTERVAL 28 DAY AS train_end, fe - INTERVAL 28 DAY AS forecast_start, fe AS forecast_end FROM s WHERE fe - INTERVAL 128 DAY >= a)"""
 
 
 @query(_CV + " SELECT split, CAST(train_start AS TIMESTAMP) AS train_start, CAST(train_end AS TIMESTAMP) AS train_end, CAST(forecast_start AS TIMESTAMP) AS forecast_start, CAST(forecast_end AS TIMESTAMP) AS forecast_end FROM c")
 def cv_splits(spark, folder):
-    return validation.TimeSeriesCV("days", 100, 28, split_limit=5).splits(read_table(spark, folder, "orders"), "o_orderdate")
+    return validation.TimeSeriesCV("days", 100, 28).splits(read_table(spark, folder, "orders"), "o_orderdate")
 
 
 @query(_CV + """, m AS (SELECT o_orderkey, split, 'train' AS role FROM orders JOIN c ON o_orderdate >= train_start AND o_orderdate < train_end
 UNION ALL SELECT o_orderkey, split, 'forecast' FROM orders JOIN c ON o_orderdate >= forecast_start AND o_orderdate < forecast_end) SELECT split, role, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM m GROUP BY 1, 2""")
 def cv_rows(spark, folder):
-    marked = validation.TimeSeriesCV("days", 100, 28, split_limit=5).mark(read_table(spark, folder, "orders"), "o_orderdate")
+    marked = validation.TimeSeriesCV("days", 100, 28).mark(read_table(spark, folder, "orders"), "o_orderdate")
     return marked.groupBy("split", "role").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("s"))
 
 

@@ -293,6 +293,12 @@ def rolling_apply_frames(spark, folder):
     return _round(out, "rolling_reach_win_6", digits=5)
 
 
+@query(f"WITH {STOCKS} SELECT symbol, date, high, low, close, adjusted, " + _r(_guard("corr(close, high)", 20, 20, "close", "symbol"), "close_rolling_corr_high_win_20", 5) + ", " + _r(_guard("covar_samp(close, low)", 20, 20, "close", "symbol"), "close_rolling_cov_low_win_20", 3) + " FROM stocks")
+def rolling_pairs(spark, folder):
+    out = rolling.augment_rolling(group(stocks(spark, folder), "symbol"), "date", "close", [rolling.pair("corr", "high"), rolling.pair("cov", "low")], 20)
+    return _round(_round(out, "close_rolling_corr_high_win_20", digits=5), "close_rolling_cov_low_win_20", digits=3)
+
+
 @query(f"WITH RECURSIVE {DAILY}, r AS (SELECT id, date, value AS v, row_number() {_W} AS i FROM daily), " + """e(id, date, i, n, d) AS (SELECT id, date, i, CAST(v AS DOUBLE), 1.0::DOUBLE FROM r WHERE i = 1
 UNION ALL SELECT r.id, r.date, r.i, 0.9::DOUBLE * e.n + r.v, 0.9::DOUBLE * e.d + 1 FROM e JOIN r ON r.id = e.id AND r.i = e.i + 1)""" + f"""
 SELECT e.id, e.date, {_r('v.value', 'value')}, copies, {_r('n / d', 'value_ewm_mean_span_19', 4)}, {_r('n', 'value_ewm_sum_span_19', 3)} FROM e JOIN daily v ON v.id = e.id AND v.date = e.date""")

@@ -535,3 +535,18 @@ def test_kendall_in_parts_is_that_over_all_pairs(spark):
         assert funnel.kendall_tau(d, "a", "b", rows) == pytest.approx(want, abs=1e-12)
     y, w = rng.integers(0, 9, 50), rng.integers(1, 4, 50)
     assert funnel.inversions(y, w) == sum(w[i] * w[j] for i in range(50) for j in range(i + 1, 50) if y[i] > y[j])
+
+
+def test_holidays_of_other_countries_and_of_a_table(spark):
+    from loomtime.functions.dates import easter, holiday_list
+
+    assert [easter(y) for y in (1961, 2000, 2019, 2024, 2038)] == [dt.date(1961, 4, 2), dt.date(2000, 4, 23), dt.date(2019, 4, 21), dt.date(2024, 3, 31), dt.date(2038, 4, 25)]
+    assert (dt.date(2024, 5, 9), "Christi Himmelfahrt") in holiday_list("Germany") and (dt.date(2023, 5, 29), "Lundi de Pentecôte") in holiday_list("France")
+    df = frame(spark, {"date": days("2024-03-28", 6)})
+    out = calendar.augment_holiday_signature(df, "date", "DE").orderBy("date").toPandas()
+    assert out.is_holiday.tolist() == [0, 1, 0, 0, 1, 0] and out.holiday_name[4] == "Ostermontag" and out.before_holiday.tolist() == [1, 0, 0, 1, 0, 0]
+    own = spark.createDataFrame([("2024-03-30", "b"), ("2024-03-30", "a"), (None, "c")], "d string, holiday_name string").select(F.to_date("d").alias("holiday_date"), "holiday_name")
+    out = calendar.augment_holiday_signature(df, "date", calendar=own).orderBy("date").toPandas()
+    assert out.is_holiday.tolist() == [0, 0, 1, 0, 0, 0] and out.holiday_name[2] == "a, b"
+    with pytest.raises(ValueError):
+        holiday_list("Atlantis")
