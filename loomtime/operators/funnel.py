@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,23 +51,32 @@ def binarize(data: DataFrame | Panel, n_bins: int = 4, thresh_infreq: float = 0.
         at = dict(zip(shares, seen[f"q{i}"]))
         if c not in low and len({at[s] for s in (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)}) > 2:
             cuts[c] = list(dict.fromkeys(at[k / n_bins] for k in range(n_bins + 1)))
+    # values of all other columns counted at once; those kept are at most 1 / thresh_infreq a column
+    texts = {i: c for i, c in enumerate(df.columns) if c not in cuts}
+    least = max(thresh_infreq, 1e-9)
+    kept: dict[int, list[str]] = {i: [] for i in texts}
+    rare: set[int] = set()
+    if texts:
+        cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), _q(c).cast("string").alias("v")) for i, c in texts.items()])))
+        counts = cells.groupBy("c", "v").agg(F.count(F.lit(1)).alias("k")).withColumn("often", F.col("k") / n >= least)
+        place = F.row_number().over(Window.partitionBy("c").orderBy("v"))
+        for r in counts.where("often").withColumn("at", place).where(F.col("at") <= max_levels + 1).orderBy("c", "v").collect():
+            kept[r["c"]].append(r["v"])
+        rare = {r["c"] for r in counts.where("NOT often").select("c").distinct().collect()}
     new = []
-    for c in df.columns:
+    for i, c in enumerate(df.columns):
         if c in cuts:
             b = cuts[c]
-            for i, (a, z) in enumerate(zip(b, b[1:])):
-                inside = (_q(c) <= z) & ((_q(c) >= a) if i == 0 else (_q(c) > a))
+            for k, (a, z) in enumerate(zip(b, b[1:])):
+                inside = (_q(c) <= z) & ((_q(c) >= a) if k == 0 else (_q(c) > a))
                 new.append(inside.cast("int").alias(f"{c}__{round(a, 1)}_{round(z, 1)}"))
             continue
-        least = max(thresh_infreq, 1e-9)
-        counts = df.groupBy(_q(c).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("k"))
-        kept = [r["v"] for r in counts.where(F.col("k") / n >= least).orderBy("v").limit(max_levels + 1).collect()]
-        if len(kept) > max_levels:
+        if len(kept[i]) > max_levels:
             raise ValueError(f"{c!r} has more than max_levels={max_levels} values")
         text = _q(c).cast("string")
-        new += [(text == v).cast("int").alias(f"{c}__{v}") for v in kept]
-        if counts.where(F.col("k") / n < least).limit(1).count():
-            new.append((~text.isin(*kept) if kept else F.lit(True)).cast("int").alias(f"{c}__{name_infreq}"))
+        new += [(text == v).cast("int").alias(f"{c}__{v}") for v in kept[i]]
+        if i in rare:
+            new.append((~text.isin(*kept[i]) if kept[i] else F.lit(True)).cast("int").alias(f"{c}__{name_infreq}"))
     return df.select(*new)
 
 

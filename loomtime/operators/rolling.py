@@ -145,8 +145,6 @@ def augment_rolling(data: DataFrame | Panel, date_column: str, value_column, win
     expressions; a (name, function over an array) pair runs in Arrow batches with the rows it looks back on. ``hot`` runs named functions so, too:
     a series too long for one task's sort is then cut over the cluster.
     """
-    if hot and center:
-        raise ValueError("a centred window looks ahead; hot series are cut with the rows before only")
     df, keys = unpack(data, by)
     check_date(df, date_column)
     values = resolve_column_selection(df, value_column)
@@ -181,22 +179,17 @@ def augment_rolling(data: DataFrame | Panel, date_column: str, value_column, win
 def _custom(df, keys, date, tie, custom, center: bool) -> DataFrame:
     ties = [tie] if isinstance(tie, str) else list(tie or ())
     inputs = list(dict.fromkeys(v for _, v, _, _, _ in custom))
-    if center:  # a centred window also looks ahead
-        def whole(part: pd.DataFrame) -> pd.DataFrame:
-            return part.assign(**{n: _pandas_window(f, size, least, True)(part[v].astype(float)) for n, v, f, size, least in custom})
-
-        return whole_series(df, keys, [date, *ties], [T.StructField(n, T.DoubleType()) for n, *_ in custom], whole)
-
     def kernel(body: pd.DataFrame) -> pd.DataFrame:
         new = {}
         for n, v, f, size, least in custom:
-            if _order_statistic(f):  # sorted windows move on by a row each; series lie one after the other, so rows come back in order
+            if _order_statistic(f) and not center:  # sorted windows move on by a row each; series lie one after the other, so rows come back in order
                 new[n] = _moving_quantile(body.groupby("__s", sort=False)[v].rolling(size, min_periods=max(least, 0)), f).to_numpy()
             else:
-                new[n] = body.groupby("__s", sort=False)[v].transform(_pandas_window(f, size, least, False)).to_numpy()
+                new[n] = body.groupby("__s", sort=False)[v].transform(_pandas_window(f, size, least, center)).to_numpy()
         return pd.DataFrame(new)
 
-    return series_map(df, keys, [date, *ties], inputs, [(n, "double") for n, *_ in custom], kernel, max(size for *_, size, _ in custom) - 1)
+    return series_map(df, keys, [date, *ties], inputs, [(n, "double") for n, *_ in custom], kernel, max(size for *_, size, _ in custom) - 1,
+                      ahead=max((size - 1) // 2 for *_, size, _ in custom) if center else 0)
 
 
 def augment_expanding(data: DataFrame | Panel, date_column: str, value_column, window_func="mean", min_periods: int | None = None, by: Sequence[str] = (), order_by=None) -> DataFrame:
@@ -288,9 +281,10 @@ def correlation(a: str, b: str, w=None) -> Column:
 
 
 def _as_column(f, w) -> Column | None:
+    """What ``f`` makes of a window if it is made for one; a function of a frame fails on a window in one of these ways. Errors of expressions pass on."""
     try:
         c = f(w)
-    except Exception:
+    except (TypeError, AttributeError, KeyError, IndexError, ValueError):
         return None
     return c if isinstance(c, Column) else None
 

@@ -28,11 +28,12 @@ def memory_of(alpha: float) -> int:
 
 
 def series_map(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], fields: Sequence[tuple[str, str]],
-               kernel: Callable[[pd.DataFrame], pd.DataFrame], halo: int, most: int | None = None) -> DataFrame:
+               kernel: Callable[[pd.DataFrame], pd.DataFrame], halo: int, most: int | None = None, ahead: int = 0) -> DataFrame:
     """``df`` with new columns ``fields`` (name, type) by ``kernel``, which gets the ``inputs`` as doubles with a column __s numbering the
-    series, rows in order, and returns the new columns row by row. ``halo`` is the number of earlier rows a row depends on.
+    series, rows in order, and returns the new columns row by row. ``halo`` is the number of earlier rows a row depends on,
+    ``ahead`` that of later ones.
 
-    A series of more than ``most`` rows is cut into slices, each with the ``halo`` rows before it (see ``pieces``). Null keys are a series; rows with a
+    A series of more than ``most`` rows is cut into slices, each with these rows beside it (see ``pieces``). Null keys are a series; rows with a
     null order come first.
     """
     code = free_name(df, "series")
@@ -53,7 +54,7 @@ def series_map(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs:
             yield from (t if own.all() else t.filter(pa.array(own))).to_batches(max_chunksize=20_000)
 
     schema = T.StructType(list(df.schema.fields) + [T.StructField(n, T.DoubleType() if k == "double" else T.IntegerType() if k == "int" else T.StringType()) for n, k in fields])
-    whole, slices = pieces(df.withColumns({code: key, **columns}), code, list(order), halo, most=most)
+    whole, slices = pieces(df.withColumns({code: key, **columns}), code, list(order), halo, ahead, most=most)
     out = whole.mapInArrow(run, schema)
     return out if slices is None else out.unionByName(slices.mapInArrow(run, schema))
 

@@ -58,27 +58,34 @@ def _shift(data, date_column, value_column, spec, by, tie, make) -> DataFrame:
     return df.withColumns({name: c for v in values for k in steps_of(spec) for name, c in make(v, k, w)})
 
 
+def _hot_shift(data, date_column, value_column, spec, by, order_by, name: str, sign: int) -> DataFrame:
+    df, keys = unpack(data, by)
+    check_date(df, date_column)
+    values = resolve_column_selection(df, value_column)
+    check_values(df, values)
+    steps = steps_of(spec)
+    names = {(v, k): f"{v}_{name}_{k}" for v in values for k in steps}
+
+    def kernel(body: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({n: body.groupby("__s", sort=False)[v].shift(sign * k) for (v, k), n in names.items()})
+
+    ties = [order_by] if isinstance(order_by, str) else list(order_by or ())
+    back, ahead = (max(steps), 0) if sign > 0 else (0, max(steps))
+    return series_map(df, keys, [date_column, *ties], values, [(n, "double") for n in names.values()], kernel, back, ahead=ahead)
+
+
 def augment_lags(data: DataFrame | Panel, date_column: str, value_column, lags=1, by: Sequence[str] = (), order_by=None, hot: bool = False) -> DataFrame:
     """value_lag_k for each k: the value k rows before in the series (null where there is none). ``hot`` cuts a series too long for one task's sort over the
     cluster (numbers only, as doubles)."""
     if hot:
-        df, keys = unpack(data, by)
-        check_date(df, date_column)
-        values = resolve_column_selection(df, value_column)
-        check_values(df, values)
-        steps = steps_of(lags)
-        names = {(v, k): f"{v}_lag_{k}" for v in values for k in steps}
-
-        def kernel(body: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({n: body.groupby("__s", sort=False)[v].shift(k) for (v, k), n in names.items()})
-
-        ties = [order_by] if isinstance(order_by, str) else list(order_by or ())
-        return series_map(df, keys, [date_column, *ties], values, [(n, "double") for n in names.values()], kernel, max(steps))
+        return _hot_shift(data, date_column, value_column, lags, by, order_by, "lag", 1)
     return _shift(data, date_column, value_column, lags, by, order_by, lambda v, k, w: [(f"{v}_lag_{k}", F.lag(v, k).over(w))])
 
 
-def augment_leads(data: DataFrame | Panel, date_column: str, value_column, leads=1, by: Sequence[str] = (), order_by=None) -> DataFrame:
-    """value_lead_k for each k: the value k rows later."""
+def augment_leads(data: DataFrame | Panel, date_column: str, value_column, leads=1, by: Sequence[str] = (), order_by=None, hot: bool = False) -> DataFrame:
+    """value_lead_k for each k: the value k rows after in the series (null where there is none). ``hot`` as for lags."""
+    if hot:
+        return _hot_shift(data, date_column, value_column, leads, by, order_by, "lead", -1)
     return _shift(data, date_column, value_column, leads, by, order_by, lambda v, k, w: [(f"{v}_lead_{k}", F.lead(v, k).over(w))])
 
 

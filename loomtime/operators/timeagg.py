@@ -86,8 +86,8 @@ def _callable_aggregate(call: Callable, value: str) -> Column:
         made = call(F.col(value))
         if isinstance(made, Column):
             return made
-    except Exception:
-        pass
+    except (TypeError, AttributeError, KeyError, IndexError, ValueError):
+        pass  # a function of values fails on a Column in one of these ways; errors of expressions pass on
 
     @F.pandas_udf("double")
     def grouped(x: pd.Series) -> float:

@@ -11,6 +11,7 @@ from loomtime.functions.dates import ceil_date, floor_date, is_holiday, week_of_
 from loomtime.functions.freq import Freq, normalize_frequency_alias, parse_freq_str, parse_human_duration
 from loomtime.functions.select import (Panel, contains, drop_zero_variance, ends_with, filter_by_time, flatten_multiindex_column_names, glimpse, group, matches,
                                        reduce_memory_usage, resolve_column_selection, sort_dataframe, starts_with, transform_columns)
+from loomtime.operators import ranges
 from loomtime.operators.series import series_map
 from loomtime.operators import apply, basis, calendar, decompose, finance, frequency, funnel, grid, plotdata, rolling, shift, timeagg, tsfeatures, validation
 
@@ -484,7 +485,7 @@ def test_frequency_tables(spark, freq, days_between, unit, season, trend):
     assert frequency.get_seasonal_frequency(df, "date") == season and frequency.get_trend_frequency(df, "date") == trend
 
 
-def test_hot_series_are_cut(spark):
+def test_hot_series_are_cut(spark, monkeypatch):
     rng = np.random.default_rng(9)
     pdf = pd.DataFrame({"g": ["hot"] * 900 + ["b"] * 60 + [None] * 5, "date": [*pd.date_range("2020-01-01", periods=900, freq="h"), *days("2020-01-01", 60), *days("2020-01-01", 5)], "value": rng.normal(size=965)})
     df = spark.createDataFrame(pdf, "g string, date timestamp, value double").repartition(6)
@@ -493,8 +494,15 @@ def test_hot_series_are_cut(spark):
     a, b = (x.toPandas().sort_values(["g", "date"]).reset_index(drop=True)[plain.columns] for x in (plain, cut))
     pd.testing.assert_frame_equal(a, b, check_exact=False, atol=1e-9)
     assert cut.rdd.getNumPartitions() > 1
-    with pytest.raises(ValueError):
-        rolling.augment_rolling(df, "date", "value", hot=True, center=True)
+    # looking ahead, with slices far smaller than the series
+    monkeypatch.setattr(ranges, "MOST", 100)
+    own = [("range", lambda x: x.max() - x.min())]
+    plain = rolling.augment_rolling(shift.augment_leads(df, "date", "value", [1, 30], by=["g"]), "date", "value", ["mean", "max"], [4, 9], 1, True, by=["g"])
+    cut = rolling.augment_rolling(shift.augment_leads(df, "date", "value", [1, 30], by=["g"], hot=True), "date", "value", ["mean", "max", *own], [4, 9], 1, True, by=["g"], hot=True)
+    a, b = (x.toPandas().sort_values(["g", "date"]).reset_index(drop=True) for x in (plain, cut))
+    pd.testing.assert_frame_equal(a, b[a.columns], check_exact=False, atol=1e-9)
+    hot = b[b.g == "hot"].value
+    np.testing.assert_allclose(b[b.g == "hot"].value_rolling_range_win_9, hot.rolling(9, 1, center=True).max() - hot.rolling(9, 1, center=True).min())
 
 
 def test_long_series_are_cut_without_a_trace(spark):
