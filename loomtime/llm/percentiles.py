@@ -1,6 +1,6 @@
 """Exact percentiles per group of very large numeric columns.
 
-The column is sorted once over the whole cluster by (group, value). Each partition counts its first and last group,
+Readings are counted by distinct value where they lie, so ties don't travel; then the column is sorted once over the whole cluster by (group, value). Each partition counts its first and last group,
 the only groups that can continue in a neighbour; from these counts (two rows a partition) every group knows its
 offset in every partition, so each target position is located where it lies and the neighbouring order statistics are
 interpolated exactly (error 0, the linear rule of SQL's percentile_cont).
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomtime.operators.ranges import runs_of, streamed
 from loomtime.runtime import checkpointed, range_partitions
 
 
@@ -39,32 +40,29 @@ def merge_runs(*summaries: DataFrame) -> DataFrame:
     return whole.groupBy("by", "value").agg(F.sum("n").alias("n"))
 
 
-def _partition(batches: Iterable[pa.RecordBatch]):
-    """Sorted rows of one partition: group starts, the groups, values and the running count before each row."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return None
-    t = pa.Table.from_batches(got)
+def _groups(t: pa.Table):
+    """Rows sorted by group and value: group starts, the groups, values and the running count before each row."""
+    starts = runs_of(t["by"])
     keys = t["by"].combine_chunks()
-    keys = (keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys).dictionary_encode()
-    codes = keys.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-    starts = np.r_[0, np.flatnonzero(np.diff(codes)) + 1]
-    n = t["n"].to_numpy()
-    return starts, keys.take(pa.array(starts)), t["value"].to_numpy(), np.r_[0, np.cumsum(n)]
+    return starts, keys.take(pa.array(starts)), t["value"].to_numpy(), np.r_[0, np.cumsum(t["n"].to_numpy())]
 
 
 def _edge_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part = _partition(batches)
-    if part is None:
-        return
-    starts, groups, values, before = part
-    ends = np.r_[starts[1:], len(values)]
-    pick = sorted({0, len(starts) - 1})
-    here = TaskContext.get().partitionId()
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([here] * len(pick), pa.int32()), groups.take(pa.array(pick)).dictionary_decode(), pa.array(before[ends[pick]] - before[starts[pick]], pa.int64())],
-        names=["pid", "by", "n"],
-    )
+    """Readings of a partition's first and last group, added up batch by batch."""
+    held: list = []  # [group, count] of the first and, if it is another one, the last group so far
+    for b in batches:
+        if b.num_rows:
+            starts, groups, values, before = _groups(pa.Table.from_batches([b]))
+            counts = before[np.r_[starts[1:], len(values)]] - before[starts]
+            for k in sorted({0, len(starts) - 1}):
+                name, n = groups[k].as_py(), int(counts[k])
+                if held and held[-1][0] == name:
+                    held[-1][1] += n
+                else:
+                    held = [*held[:1], [name, n]]
+    if held:
+        here = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([here] * len(held), pa.int32()), pa.array([h[0] for h in held], groups.type), pa.array([h[1] for h in held], pa.int64())], names=["pid", "by", "n"])
 
 
 def percentiles_of_runs(runs: DataFrame, probabilities: Sequence[float], names: Sequence[str], parts: int | None = None) -> DataFrame:
@@ -83,27 +81,25 @@ def percentiles_of_runs(runs: DataFrame, probabilities: Sequence[float], names:
     probs = np.asarray(probabilities, float)
 
     def locate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = _partition(batches)
-        if part is None:
-            return
         here = TaskContext.get().partitionId()
-        starts, groups, values, before = part
-        ends = np.r_[starts[1:], len(values)]
-        local = before[ends] - before[starts]
-        offset, total = np.zeros(len(starts), np.int64), local.copy()
-        for i in {0, len(starts) - 1}:
-            counts = spanning.get(groups[i].as_py())
-            if counts:
-                offset[i] = sum(n for pid, n in counts.items() if pid < here)
-                total[i] = sum(counts.values())
-        out = [groups.dictionary_decode(), pa.array(total)]
-        for p in probs:
-            low = np.floor((total - 1) * p).astype(np.int64)
-            for k in (low, np.minimum(low + 1, total - 1)):
-                inside = (k >= offset) & (k < offset + local)
-                at = np.searchsorted(before, np.where(inside, before[starts] + k - offset, 0), side="right") - 1
-                out.append(pa.array(values[at], mask=~inside))
-        yield pa.RecordBatch.from_arrays(out, names=["by", "n", *(f"{s}{i}" for i in range(len(probs)) for s in ("lo", "hi"))])
+        for t in streamed(batches, ["by"]):
+            starts, groups, values, before = _groups(t)
+            ends = np.r_[starts[1:], len(values)]
+            local = before[ends] - before[starts]
+            offset, total = np.zeros(len(starts), np.int64), local.copy()
+            for i in {0, len(starts) - 1}:
+                counts = spanning.get(groups[i].as_py())
+                if counts:
+                    offset[i] = sum(n for pid, n in counts.items() if pid < here)
+                    total[i] = sum(counts.values())
+            out = [groups, pa.array(total)]
+            for p in probs:
+                low = np.floor((total - 1) * p).astype(np.int64)
+                for k in (low, np.minimum(low + 1, total - 1)):
+                    inside = (k >= offset) & (k < offset + local)
+                    at = np.searchsorted(before, np.where(inside, before[starts] + k - offset, 0), side="right") - 1
+                    out.append(pa.array(values[at], mask=~inside))
+            yield pa.RecordBatch.from_arrays(out, names=["by", "n", *(f"{s}{i}" for i in range(len(probs)) for s in ("lo", "hi"))])
 
     fields = [T.StructField("by", key), T.StructField("n", T.LongType())]
     fields += [T.StructField(f"{s}{i}", T.DoubleType()) for i in range(len(probs)) for s in ("lo", "hi")]
