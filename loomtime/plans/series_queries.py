@@ -430,21 +430,6 @@ def fourier(spark, folder):
     return _round(_round(out, "value"), *[c for c in out.columns if c.startswith("date_")], digits=5)
 
 
-@query()
-def hilbert(spark, folder):
-    return basis.augment_hilbert(group(daily(spark, folder), "id"), "date", "value")
-
-
-@query()
-def wavelet(spark, folder):
-    return basis.augment_wavelet(group(daily(spark, folder), "id"), "date", "value", "morlet", 1.0, [2, 7])
-
-
-@query()
-def spline(spark, folder):
-    return basis.augment_spline(group(daily(spark, folder), "id"), "date", "value", "bs", 5, 3)
-
-
 @query(f"""WITH {DAILY}, a AS (SELECT id, date, epoch(date) - lag(epoch(date)) {_W} AS st FROM daily)
 SELECT id, count(*) AS date_n, min(date) AS date_start, max(date) AS date_end, quantile_cont(st, 0.0) AS diff_min_seconds, quantile_cont(st, 0.25) AS diff_q25_seconds, quantile_cont(st, 0.5) AS diff_median_seconds,
 {_r('avg(st)', 'diff_mean_seconds', 3)}, quantile_cont(st, 0.75) AS diff_q75_seconds, quantile_cont(st, 1.0) AS diff_max_seconds FROM a GROUP BY id""")
@@ -503,11 +488,6 @@ def acf(spark, folder):
     return _round(_round(out.select("id", "lag", "value", "white_noise_upper"), "value", digits=5), "white_noise_upper")
 
 
-@query()
-def acf_pacf_ccf(spark, folder):
-    return decompose.acf_diagnostics(group(stocks(spark, folder), "symbol"), "date", "close", ["adjusted"], 20)
-
-
 @query("SELECT event_type, ts, value, f.k AS seasonal_feature, CASE f.k WHEN 'hour' THEN CAST(hour(ts) AS VARCHAR) ELSE dayname(ts) END AS seasonal_value FROM events, (VALUES ('hour'), ('wday.lbl')) f(k)")
 def seasonal_diagnostics(spark, folder):
     return decompose.seasonal_diagnostics(group(read_table(spark, folder, "events"), "event_type"), "ts", "value", ["hour", "wday.lbl"])
@@ -546,11 +526,6 @@ def binarize_segments(spark, folder):
     return funnel.binarize(read_table(spark, folder, "customer").select("c_mktsegment"))
 
 
-@query()
-def binarize_customers(spark, folder):
-    return funnel.binarize(read_table(spark, folder, "customer").select("c_mktsegment", "c_acctbal", "c_nationkey"))
-
-
 @query("""SELECT 'l_quantity' AS feature, CAST(NULL AS VARCHAR) AS bin, round(corr(l_quantity, l_extendedprice) + 1e-9::DOUBLE, 6) AS correlation FROM lineitem UNION ALL SELECT 'l_discount', NULL, round(corr(l_discount, l_extendedprice) + 1e-9::DOUBLE, 6) FROM lineitem
 UNION ALL SELECT 'l_tax', NULL, round(corr(l_tax, l_extendedprice) + 1e-9::DOUBLE, 6) FROM lineitem UNION ALL SELECT 'l_extendedprice', NULL, 1.0::DOUBLE""")
 def correlate_pearson(spark, folder):
@@ -566,11 +541,6 @@ def correlate_spearman(spark, folder):
     return _round(funnel.correlate(read_table(spark, folder, "lineitem").select("l_quantity", "l_discount", "l_extendedprice"), "l_extendedprice", "spearman"))
 
 
-@query()
-def correlation_funnel(spark, folder):
-    return funnel.correlation_funnel(read_table(spark, folder, "customer").select("c_mktsegment", "c_acctbal"), "c_mktsegment__BUILDING")
-
-
 _CV = """WITH b AS (SELECT min(o_orderdate) AS a, max(o_orderdate) + INTERVAL 1 DAY AS z FROM orders),
 s AS (SELECT CAST(k + 1 AS INTEGER) AS split, z - to_days(CAST(28 * k AS INTEGER)) AS fe, a FROM b, range(0, 1000) t(k)),
 c AS (SELECT split, fe - INTERVAL 128 DAY AS train_start, fe - INTERVAL 28 DAY AS train_end, fe - INTERVAL 28 DAY AS forecast_start, fe AS forecast_end FROM s WHERE fe - INTERVAL 128 DAY >= a)"""
@@ -617,12 +587,6 @@ def timeseries_plot_data(spark, folder):
     return plotdata.timeseries_data(group(daily(spark, folder), "id"), "date", "value")
 
 
-@query()
-def anomalies_plot_data(spark, folder):
-    a = decompose.anomalize(group(daily(spark, folder), "id"), "date", "value", 7, 91, method="twitter")
-    return plotdata.anomalies_decomp_data(a, "date", ["id"])
-
-
 def queries() -> dict:
     return dict(QUERIES)
 
