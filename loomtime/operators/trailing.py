@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtime.operators.ranges import runs_of
+from loomtime.runtime import partitions
 
 TILE = 64
 
@@ -113,6 +114,6 @@ def trailing_totals(lines: DataFrame, entity: str, date: str, amount: str, windo
     schema = T.StructType([T.StructField("entity", T.StringType()), T.StructField("day", T.IntegerType()), T.StructField("lines", T.LongType())])
     for w in windows:
         schema = schema.add(f"total_{w}", T.DoubleType()).add(f"count_{w}", T.LongType()).add(f"average_{w}", T.DoubleType())
-    ordered = frame.unionByName(placed).repartition("entity", "tile").sortWithinPartitions("entity", "tile")
+    ordered = frame.unionByName(placed).repartition(partitions(lines.sparkSession), "entity", "tile").sortWithinPartitions("entity", "tile")
     out = ordered.mapInArrow(run, schema)
     return out.select(F.col("entity").alias(entity), F.date_from_unix_date("day").alias("day"), *[f.name for f in schema.fields[2:]])

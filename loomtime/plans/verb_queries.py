@@ -408,6 +408,22 @@ def ts_features_tiles(spark, folder):
     return _round(out, "stability", digits=2).select("id", "stability", F.col("lumpiness").isNotNull().alias("any"), "series_length")
 
 
+@query(f"""WITH {STOCKS}, z AS (SELECT symbol, date, (close - avg(close) OVER (PARTITION BY symbol)) / stddev_samp(close) OVER (PARTITION BY symbol) AS x FROM stocks),
+r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM z),
+f AS (SELECT *, x - lag(x) OVER (PARTITION BY symbol ORDER BY i) AS d FROM r), g AS (SELECT *, d - avg(d) OVER (PARTITION BY symbol) AS e, sum(x) OVER (PARTITION BY symbol ORDER BY i) AS c FROM f),
+k AS (SELECT a.symbol, l.lag, sum(a.x * b.x) AS xx, sum(a.e * b.e) AS ee, any_value(a.n) AS n FROM g a, range(0, 25) l(lag), g b WHERE a.symbol = b.symbol AND b.i = a.i - l.lag GROUP BY 1, 2),
+v AS (SELECT symbol, xx AS vx, ee AS ve FROM k WHERE lag = 0),
+a AS (SELECT k.symbol, max(xx / vx) FILTER (lag = 1) AS a1, sum(power(xx / vx, 2)) FILTER (lag BETWEEN 1 AND 10) AS a10, max(ee / ve) FILTER (lag = 1) AS d1, sum(power(ee / ve, 2)) FILTER (lag BETWEEN 1 AND 10) AS d10, max(xx / vx) FILTER (lag = 5) AS s1,
+  max(xx) FILTER (lag = 0) / any_value(n) + 2 * coalesce(sum((1 - lag / (trunc(4 * power(n / 100, 0.25)) + 1)) * xx / n) FILTER (lag BETWEEN 1 AND trunc(4 * power(n / 100, 0.25))), 0) AS long FROM k JOIN v ON k.symbol = v.symbol GROUP BY k.symbol),
+p AS (SELECT symbol, sum(c * c) / power(count(*), 2) AS s FROM g GROUP BY symbol), t AS (SELECT symbol, i // 5 AS t, avg(x) AS m, var_samp(x) AS v FROM r WHERE i // 5 < n // 5 GROUP BY 1, 2),
+u AS (SELECT symbol, var_samp(m) AS stability, var_samp(v) AS lumpiness FROM t GROUP BY symbol)
+SELECT a.symbol, {_r('a1', 'x_acf1', 5)}, {_r('a10', 'x_acf10', 5)}, {_r('d1', 'diff1_acf1', 5)}, {_r('d10', 'diff1_acf10', 5)}, {_r('s1', 'seas_acf1', 5)}, {_r('s / long', 'unitroot_kpss', 5)}, {_r('stability', 'stability', 5)}, {_r('lumpiness', 'lumpiness', 5)}
+FROM a JOIN p ON a.symbol = p.symbol JOIN u ON a.symbol = u.symbol""")
+def ts_features_of_stocks(spark, folder):
+    out = tsfeatures.ts_features(group(stocks(spark, folder), "symbol"), "date", "close", ["acf_features", "unitroot_kpss", "stability", "lumpiness"], 5)
+    return _round(out.drop("diff2_acf1", "diff2_acf10"), digits=5)
+
+
 # ---- diagnostics
 
 _CENTRED = f"centred AS (SELECT symbol, close, adjusted, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, count(*) OVER (PARTITION BY symbol) AS n, close - avg(close) OVER (PARTITION BY symbol) AS c, adjusted - avg(adjusted) OVER (PARTITION BY symbol) AS a FROM stocks)"
