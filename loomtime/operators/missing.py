@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtime.operators.ranges import runs_of, streamed
-from loomtime.runtime import checkpointed, nan_to_null, partitions
+from loomtime.runtime import checkpointed, nan_to_null, partitions, stored
 
 # What people and programs put in place of a number or a text that they don't have
 NUMBER_MARKERS = (-1.0, -9.0, -99.0, -999.0, -9999.0, -99999.0, -999999.0, 9999.0, 99999.0, 999999.0, 9999999.0)
@@ -225,7 +225,7 @@ def fill_missing(df: DataFrame, row: str = "row_no", group: str = "id", date: st
     ``tolerance`` (``safety`` only guards against a loop without end).
     """
     spark = df.sparkSession
-    table = checkpointed(describe(df, row, group, date, value, category, markers))
+    table = stored(describe(df, row, group, date, value, category, markers))
     # one pass: what each category adds to the totals, then these
     parts = checkpointed(table.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("k"), F.avg("v").alias("m"), F.var_pop("v").alias("q")))
     k, m = F.sum("k"), F.try_divide(F.sum(F.col("k") * F.col("m")), F.sum("k"))
