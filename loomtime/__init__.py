@@ -18,7 +18,7 @@ _MODULES = {
     "operators.grid": "future_frame make_future_timeseries make_weekday_sequence make_weekend_sequence pad_by_time",
     "operators.gridfill": "regularize",
     "operators.missing": "fill_missing",
-    "operators.rolling": "augment_ewm augment_expanding augment_expanding_apply augment_rolling augment_rolling_apply pd_quantile pl_quantile",
+    "operators.rolling": "augment_ewm augment_expanding augment_expanding_apply augment_rolling augment_rolling_apply pair pd_quantile pl_quantile",
     "operators.shift": "augment_diffs augment_lags augment_leads augment_pct_change resolve_lag_sequence",
     "operators.spikes": "flag_implausible",
     "operators.timeagg": "apply_by_time summarize_by_time",
@@ -26,7 +26,7 @@ _MODULES = {
     "operators.tsfeatures": "ts_features",
     "operators.validation": "TimeSeriesCV TimeSeriesCVSplitter",
     "sources.datasets": "get_available_datasets load_dataset write_dataset",
-    "sources.feature_store": "FeatureStore FeatureStoreAccessor feature_store",
+    "sources.feature_store": "FeatureStore FeatureStoreAccessor feature_store load_feature_set log_feature_set",
     "streaming.streams": "drawdown_stream ewm_stream session_stream summarize_stream",
 }
 _HOME = {name: module for module, names in _MODULES.items() for name in names.split()}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import inspect
 import re
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,11 +18,32 @@ from loomtime.runtime import is_temporal, without_nan
 
 @dataclass(frozen=True)
 class Panel:
-    """A frame of many series and the columns that tell them apart."""
+    """A frame of many series and the columns that tell them apart.
+
+    Every public verb is also a method: ``group(df, "id").augment_lags("date", "value").augment_rolling("date", "value").data``. A method gives a Panel of
+    the same keys as long as its frame has them, else what the verb gives.
+    """
 
     data: DataFrame
     by: tuple[str, ...]
 
+    def __getattr__(self, name: str):
+        import loomtime
+
+        if name.startswith("_") or name not in loomtime.__all__:
+            raise AttributeError(name)
+        verb = getattr(loomtime, name)
+        first = next(iter(inspect.signature(verb).parameters.values()), None)
+        if first is None or first.name != "data":
+            raise AttributeError(f"{name!r} doesn't begin with a table")
+
+        @wraps(verb)
+        def call(*args, **settings):
+            made = verb(self if "Panel" in str(first.annotation) else self.data, *args, **settings)
+            return Panel(made, self.by) if isinstance(made, DataFrame) and set(self.by) <= set(made.columns) else made
+
+        return call
+
 
 def group(data: DataFrame, *by: str) -> Panel:
     """Handle for verbs that work series by series."""

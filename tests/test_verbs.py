@@ -558,3 +558,14 @@ def test_holidays_of_other_countries_and_of_a_table(spark):
     assert out.is_holiday.tolist() == [0, 0, 1, 0, 0, 0] and out.holiday_name[2] == "a, b"
     with pytest.raises(ValueError):
         holiday_list("Atlantis")
+
+
+def test_verbs_as_methods(spark):
+    df = frame(spark, {"id": ["a", "b"] * 5, "date": list(days("2020-01-01", 5)) * 2, "value": np.arange(10.0)})
+    chained = group(df, "id").augment_lags("date", "value", 1).augment_rolling("date", "value", "mean", 2)
+    plain = rolling.augment_rolling(shift.augment_lags(df, "date", "value", 1, by=["id"]), "date", "value", "mean", 2, by=["id"])
+    assert isinstance(chained, Panel) and chained.by == ("id",) and chained.data.orderBy("id", "date").collect() == plain.orderBy("id", "date").collect()
+    assert group(df.where("id = 'a'")).get_frequency("date") == "D" and group(df, "id").ts_summary("date").data.count() == 2
+    for name in ("no_such_verb", "pd_quantile", "__deepcopy__"):
+        with pytest.raises(AttributeError):
+            getattr(group(df, "id"), name)
